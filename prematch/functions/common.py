@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+TIE_NUDGE = 1.000000000001
 OUTCOMES = ("home_win", "draw", "away_win")
 
 
@@ -13,8 +14,12 @@ def col(value: Column | str) -> Column:
 
 
 def r6(value: Column | str) -> Column:
-    """Round to six places and fold negative zero into zero."""
-    return F.round(col(value), 6) + F.lit(0.0)
+    """Round to six places and fold negative zero into zero.
+
+    The factor moves exact decimal ties off the boundary, so that two engines whose last bits differ
+    still round the same way.
+    """
+    return F.round(col(value) * TIE_NUDGE, 6) + F.lit(0.0)
 
 
 def epoch(value: Column | str) -> Column:

@@ -125,7 +125,7 @@ VIEWS: dict[str, tuple[str, dict]] = {
                        "WHEN 4 THEN 'suspended' WHEN 5 THEN 'limited' WHEN 6 THEN 'fit' ELSE 'on holiday' END",
     }),
     "records": ("lineitem", {
-        "sequence": "l_orderkey * 1000 + l_linenumber * 100 + l_suppkey % 100",
+        "sequence": "l_orderkey * 10000000 + CAST(round(l_extendedprice * 100) AS BIGINT) % 10000000",
         "kind": "CASE l_returnflag WHEN 'A' THEN 'match' WHEN 'N' THEN 'forecast' ELSE 'odds' END",
         "entity_id": "l_partkey",
         "available_at": ("CAST(l_shipdate AS TIMESTAMP)", "l_shipdate"),

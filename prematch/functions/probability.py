@@ -147,7 +147,8 @@ def rank_bucket(rank: Column) -> Column:
 
 
 def log_loss(actual: Column | str, home: Column, draw: Column, away: Column) -> Column:
-    return -F.ln(F.least(F.lit(1.0), F.greatest(F.lit(1e-15), pick(actual, home, draw, away))))
+    realised = pick(actual, home, draw, away)
+    return F.when(realised.isNotNull(), -F.ln(F.least(F.lit(1.0), F.greatest(F.lit(1e-15), realised))))
 
 
 def _hits(actual: Column | str) -> list[Column]:

@@ -56,20 +56,22 @@ def home_advantage(neutral: Column | str, points: float = ELO_HOME_ADVANTAGE) ->
 
 
 def elo_change(home_rating: Column, away_rating: Column, home_goals: Column, away_goals: Column,
-               neutral: Column | str, weight: Column, k: float = ELO_K) -> Column:
+               neutral: Column | str, weight: Column, k: float = ELO_K,
+               advantage: float = ELO_HOME_ADVANTAGE) -> Column:
     """Points moved from the away side to the home side by one result."""
-    adjusted = home_rating + home_advantage(neutral)
+    adjusted = home_rating + home_advantage(neutral, advantage)
     multiplier = margin_multiplier(home_goals, away_goals, adjusted - away_rating)
     return k * weight * multiplier * (actual_score(home_goals, away_goals) - expected_score(adjusted, away_rating))
 
 
 def inflate_deviation(deviation: Column, days: Column) -> Column:
     grown = F.sqrt(deviation * deviation + GLICKO_MONTHLY_DRIFT**2 * days / 30.0)
-    return F.least(F.lit(GLICKO_MAX_DEVIATION), grown)
+    return F.when(grown.isNotNull(), F.least(F.lit(GLICKO_MAX_DEVIATION), grown))
 
 
 def great_circle_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     a, b = F.radians(lat1), F.radians(lat2)
     half_lat, half_lon = (b - a) / 2.0, F.radians(lon2 - lon1) / 2.0
     h = F.sin(half_lat) * F.sin(half_lat) + F.cos(a) * F.cos(b) * F.sin(half_lon) * F.sin(half_lon)
-    return EARTH_RADIUS_KM * 2.0 * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    # least() skips nulls, so an unknown place must be kept out of it
+    return F.when(h.isNotNull(), EARTH_RADIUS_KM * 2.0 * F.asin(F.least(F.lit(1.0), F.sqrt(h))))

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import col
 
@@ -77,7 +78,7 @@ def normalize_name(value: Column | str) -> Column:
     return F.regexp_replace(F.lower(F.trim(col(value))), r"\s+", " ")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unicode_fold(names: pd.Series) -> pd.Series:
     return names.map(
         lambda s: None if s is None else " ".join(unicodedata.normalize("NFKC", s).casefold().split())

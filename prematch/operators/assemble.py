@@ -16,7 +16,8 @@ def text_array(*items: Column) -> Column:
     return F.array_sort(F.array_distinct(F.array_compact(F.array(*[i.cast("string") for i in items]))))
 
 
-NO_LINEAGE = F.array().cast("array<string>")
+def no_lineage() -> Column:
+    return F.array().cast("array<string>")
 
 
 def feature(name: Column | str, value: Column, reason: Column | None = None, lineage: Column | None = None,
@@ -29,8 +30,7 @@ def feature(name: Column | str, value: Column, reason: Column | None = None, lin
     status = F.when(value.isNull(), F.lit("missing")).when(imputation.isNotNull(), F.lit("imputed")).otherwise(F.lit("observed"))
     kept_reason = F.when(value.isNull() | imputation.isNotNull(), reason)
     return F.struct(name.alias("feature"), value.alias("value"), status.alias("status"), kept_reason.alias("reason"),
-                    imputation.alias("imputation"), F.coalesce(lineage, NO_LINEAGE).alias("lineage") if lineage is not None
-                    else NO_LINEAGE.alias("lineage"))
+                    imputation.alias("imputation"), (no_lineage() if lineage is None else F.coalesce(lineage, no_lineage())).alias("lineage"))
 
 
 def explode_features(df: DataFrame, features: list[Column]) -> DataFrame:

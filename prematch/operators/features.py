@@ -162,11 +162,15 @@ def rating_features(contexts: DataFrame, snapshots: DataFrame, default: float =
                     hot_rows: int = HOT_ROWS) -> DataFrame:
     """Ratings from snapshots dated strictly before the cutoff's day, expected scores and difference.
 
-    snapshots: team_id, rating, effective_date, snapshot_order, match_id.
+    snapshots: team_id, rating, effective_date, snapshot_order, match_id and optionally usable_at, the
+    time at which everything the rating is built from was published. "Strictly before the day" is the
+    same as "the next midnight has passed", which gives one time to compare.
     """
-    left = sides(contexts, ["prediction_time", "neutral"]).withColumn("__day", F.to_date("prediction_time").cast("timestamp"))
-    right = snapshots.withColumn("__day", F.col("effective_date").cast("timestamp"))
-    known = A.asof_latest(left, right, ["team_id"], "__day", "__day", ["rating", "match_id"], ["snapshot_order"], True, "snap", hot_rows)
+    left = sides(contexts, ["prediction_time", "neutral"])
+    midnight = F.date_add("effective_date", 1).cast("timestamp")
+    usable = F.greatest(midnight, F.col("usable_at")) if "usable_at" in snapshots.columns else midnight
+    known = A.asof_latest(left, snapshots.withColumn("__usable", usable), ["team_id"], "prediction_time", "__usable",
+                          ["rating", "match_id"], ["effective_date", "snapshot_order"], False, "snap", hot_rows)
     known = known.withColumn("rating", F.coalesce("snap.rating", F.lit(default))).withColumn("known", F.col("snap").isNotNull())
     known = known.withColumn("ref", F.col("snap.match_id").cast("string"))
     p = pair_sides(known, ["rating", "known", "ref"], ["prediction_time", "neutral"])

@@ -12,7 +12,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window
 
 HOT_ROWS = 4_000_000
@@ -118,13 +117,12 @@ def _top_slots(df: DataFrame, partition: list[str], order: list[str], value: str
     result = df
     for slot in range(n):
         prev = f"__p{slot}"
-        result = result.withColumn(f"__c{slot}", candidate)
-        result = result.withColumn(prev, F.max(f"__c{slot}").over(before))
+        result = result.withColumns({f"__c{slot}": candidate, prev: F.max(candidate).over(before)})
         kept, incoming = F.col(prev), F.col(f"__c{slot}")
         current.append(F.greatest(kept, incoming))
         candidate = F.when(kept.isNotNull() & incoming.isNotNull(), F.least(kept, incoming))
-    result = result.withColumn(out, F.array_compact(F.array(*current)))
-    result = result.withColumn("__before", F.array_compact(F.array(*[F.col(f"__p{s}") for s in range(n)])))
+    result = result.withColumns({
+        out: F.array_compact(F.array(*current)), "__before": F.array_compact(F.array(*[F.col(f"__p{s}") for s in range(n)]))})
     return result.drop(*[f"__p{s}" for s in range(n)], *[f"__c{s}" for s in range(n)])
 
 
@@ -154,19 +152,14 @@ def last_value_as_of(df: DataFrame, keys: list[str], order: list[str], value: st
     return known.filter(~F.col(HALO)).drop(CHUNK, HALO)
 
 
-def salted_sum(df: DataFrame, keys: list[str], aggs: dict[str, tuple[Column, str]], salts: int = 32) -> DataFrame:
-    """Two-stage sums, counts, minima and maxima for inputs whose partial aggregates are still skewed.
-
-    aggs maps name -> (per-row value, one of 'sum', 'count', 'min', 'max').
-    """
-    first = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
-    final = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salts)).alias("__salt")
-    partial = df.select("*", salt).groupBy(*keys, "__salt").agg(
-        *[first[kind](value).alias(name) for name, (value, kind) in aggs.items()]
-    )
-    return partial.groupBy(*keys).agg(*[final[kind](name).alias(name) for name, (_, kind) in aggs.items()])
-
-
-def null_of(schema: T.StructType, name: str) -> Column:
-    return F.lit(None).cast(schema[name].dataType).alias(name)
+def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, chunk: str | None) -> DataFrame:
+    """Sum of earlier rows per key (zero for the first). ``chunk`` names a precomputed chunk column, if any key is hot."""
+    part = keys if chunk is None else [*keys, chunk]
+    inner = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = df.withColumn(out, F.coalesce(F.sum(value).over(inner), F.lit(0.0)))
+    if chunk is None:
+        return summed
+    totals = df.groupBy(*part).agg(F.sum(value).alias("__t"))
+    earlier = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select(*part, F.coalesce(F.sum("__t").over(earlier), F.lit(0.0)).alias("__c"))
+    return summed.join(carry, part).withColumn(out, F.col(out) + F.col("__c")).drop("__c")

@@ -174,10 +174,10 @@ def e8(t: Tables):
 
 @query("e9_ranking_trends", EVENT_FIX + """, pv AS (SELECT record_id, source, available_at, rank, points, lag(source) OVER w AS ps, lag(rank) OVER w AS pr, lag(points) OVER w AS pp, lag(available_at) OVER w AS pa FROM ob WHERE leakage_risk = 'safe'
      WINDOW w AS (PARTITION BY team_id ORDER BY available_at, record_id)),
-   j AS (SELECT g.match_id, g.side, g.rid, g.why, v.rank, v.points, CASE WHEN v.ps = v.source THEN v.pr END AS pr, CASE WHEN v.ps = v.source THEN v.pp END AS pp, CASE WHEN v.ps = v.source THEN v.pa END AS pa, v.available_at AS at,
+   j AS (SELECT g.match_id, g.side, g.rid, g.why, v.rank, v.points, CASE WHEN v.ps = v.source THEN v.pr END AS pr, CASE WHEN v.ps = v.source THEN v.pp END AS pp, CASE WHEN v.ps = v.source THEN v.pa END AS pa, v.available_at AS vat,
      coalesce(v.ps = v.source, FALSE) AS hp FROM got g LEFT JOIN pv v ON v.record_id = g.rid),
    l AS (SELECT match_id, unnest(['ranking_trend.' || side || '.rank_bucket', 'ranking_trend.' || side || '.rank_improvement', 'ranking_trend.' || side || '.points_change', 'ranking_trend.' || side || '.publication_gap_days']) AS feature,
-     unnest([CASE WHEN rid IS NULL THEN NULL ELSE 1e0 + CAST(rank > 10 AS INT) + CAST(rank > 25 AS INT) + CAST(rank > 50 AS INT) + CAST(rank > 100 AS INT) END, CAST(pr - rank AS DOUBLE), points - pp, (epoch_us(at) - epoch_us(pa)) / 86400000000.0]) AS value,
+     unnest([CASE WHEN rid IS NULL THEN NULL ELSE 1e0 + CAST(rank > 10 AS INT) + CAST(rank > 25 AS INT) + CAST(rank > 50 AS INT) + CAST(rank > 100 AS INT) END, CAST(pr - rank AS DOUBLE), points - pp, (epoch_us(vat) - epoch_us(pa)) / 86400000000.0]) AS value,
      unnest([coalesce(why, 'no_history'), coalesce(why, 'no_history'), CASE WHEN hp THEN 'upstream_unavailable' ELSE coalesce(why, 'no_history') END, coalesce(why, 'no_history')]) AS why FROM j)
    SELECT match_id, feature, round(value, 6) + 0.0 AS value, CASE WHEN value IS NULL THEN 'missing' ELSE 'observed' END AS status, CASE WHEN value IS NULL THEN why END AS reason FROM l""")
 def e9(t: Tables):
@@ -220,8 +220,8 @@ TRAVEL_SQL = EVENT_FIX + """, loc AS (SELECT CASE WHEN record_id % 4 = 0 THEN 'v
    bl AS (SELECT a.match_id, a.role, arg_max(l.record_id, (l.available_at, l.record_id)) AS rid FROM ask a JOIN loc l ON a.k = l.k AND a.id = l.id AND l.available_at <= a.prediction_time AND l.leakage_risk = 'safe' GROUP BY 1, 2),
    r AS (SELECT a.match_id, a.neutral, a.role, l.lat, l.lon, CASE WHEN l.record_id IS NOT NULL THEN NULL WHEN EXISTS (SELECT 1 FROM loc x WHERE x.k = a.k AND x.id = a.id) THEN 'temporal_integrity' ELSE 'upstream_unavailable' END AS why
      FROM ask a LEFT JOIN bl b ON a.match_id = b.match_id AND a.role = b.role LEFT JOIN loc l ON l.record_id = b.rid),
-   w AS (SELECT t.match_id, t.role, t.neutral, 2 * 6371.0088 * asin(least(1.0, sqrt(pow(sin(radians(v.lat - t.lat) / 2), 2) + cos(radians(t.lat)) * cos(radians(v.lat)) * pow(sin(radians(v.lon - t.lon) / 2), 2)))) AS km,
-     CASE WHEN t.why = 'temporal_integrity' OR v.why = 'temporal_integrity' THEN 'temporal_integrity' ELSE coalesce(t.why, v.why) END AS why FROM r t JOIN r v ON t.match_id = v.match_id AND v.role = 'venue' AND t.role <> 'venue')"""
+   w AS (SELECT t.match_id, t.role, t.neutral, CASE WHEN t.lat IS NULL OR v.lat IS NULL THEN NULL ELSE 1 END * 2 * 6371.0088 * asin(least(1.0, sqrt(pow(sin(radians(v.lat - t.lat) / 2), 2) + cos(radians(t.lat)) * cos(radians(v.lat)) * pow(sin(radians(v.lon - t.lon) / 2), 2)))) AS km,
+     CASE WHEN t.lat IS NOT NULL AND v.lat IS NOT NULL THEN NULL WHEN t.why = 'temporal_integrity' OR v.why = 'temporal_integrity' THEN 'temporal_integrity' ELSE coalesce(t.why, v.why) END AS why FROM r t JOIN r v ON t.match_id = v.match_id AND v.role = 'venue' AND t.role <> 'venue')"""
 
 
 @query("e11_travel", TRAVEL_SQL + """ SELECT h.match_id, CAST(h.neutral AS DOUBLE) AS neutral, round(h.km, 3) + 0.0 AS home_km, round(a.km, 3) + 0.0 AS away_km, round(h.km - a.km, 3) + 0.0 AS diff_km, h.why AS home_reason, a.why AS away_reason,
@@ -407,8 +407,8 @@ def forecasts(t: Tables):
     return t.predictions.withColumn("home_team", name("home_id")).withColumn("away_team", F.when(F.col("away_id") < 90, name("away_id")).otherwise(F.lit("unknown")))
 
 
-ADJ_SQL = TEAM_SQL + """, fx AS (SELECT p.*, 'T' || home_id AS ht, CASE WHEN away_id < 90 THEN 'T' || away_id ELSE 'unknown' END AS at FROM predictions p),
-   j AS (SELECT fx.*, coalesce(h.availability_pct, 1) AS ha, coalesce(a.availability_pct, 1) AS aa, coalesce(h.unavailable_value_pct, 0) AS hu, coalesce(a.unavailable_value_pct, 0) AS au FROM fx LEFT JOIN ta h ON fx.ht = h.team LEFT JOIN ta a ON fx.at = a.team)"""
+ADJ_SQL = TEAM_SQL + """, fx AS (SELECT p.*, 'T' || home_id AS ht, CASE WHEN away_id < 90 THEN 'T' || away_id ELSE 'unknown' END AS awt FROM predictions p),
+   j AS (SELECT fx.*, coalesce(h.availability_pct, 1) AS ha, coalesce(a.availability_pct, 1) AS aa, coalesce(h.unavailable_value_pct, 0) AS hu, coalesce(a.unavailable_value_pct, 0) AS au FROM fx LEFT JOIN ta h ON fx.ht = h.team LEFT JOIN ta a ON fx.awt = a.team)"""
 
 
 @query("e24_fixture_availability", ADJ_SQL + " SELECT row_id, model_id, round(p_home, 6) + 0.0 AS p, round(ha - aa, 6) + 0.0 AS availability_pct_diff, round(hu - au, 6) + 0.0 AS unavailable_value_pct_diff FROM j")
@@ -420,7 +420,7 @@ def e24(t: Tables):
 @query("e25_availability_adjustment", ADJ_SQL + """, s AS (SELECT *, least(greatest(0.1 * (ha - aa) - 0.05 * (hu - au), -0.08e0), 0.08e0) AS sh FROM j),
    x AS (SELECT *, greatest(p_home + sh, 0.01) AS xh, greatest(p_draw, 0.01) AS xd, greatest(p_away - sh, 0.01) AS xa FROM s)
    SELECT row_id, model_id, round(sh, 6) + 0.0 AS shift, round(xh / (xh + xd + xa), 6) + 0.0 AS home, round(xd / (xh + xd + xa), 6) + 0.0 AS draw,
-   CASE WHEN xh >= xd AND xh >= xa THEN ht WHEN xd >= xa THEN 'Draw' ELSE at END AS winner FROM x""")
+   CASE WHEN xh >= xd AND xh >= xa THEN ht WHEN xd >= xa THEN 'Draw' ELSE awt END AS winner FROM x""")
 def e25(t: Tables):
     out = X.availability_adjustment(forecasts(t), X.team_availability(t.players))
     return out.select("row_id", "model_id", r6("shift").alias("shift"), r6("adjusted_home").alias("home"), r6("adjusted_draw").alias("draw"), F.col("adjusted_winner").alias("winner"))

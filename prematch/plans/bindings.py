@@ -110,6 +110,23 @@ VIEWS: dict[str, tuple[str, dict]] = {
         "home_id": "l_suppkey % 97",
         "away_id": "(l_suppkey + 1 + l_partkey % 96) % 97",
     }),
+    "forecasts": ("orders", {
+        "match_id": "o_orderkey",
+        "p_home": "(1 + o_custkey % 7) / (3e0 + o_custkey % 7 + o_orderkey % 5 + CAST(floor(o_totalprice) AS BIGINT) % 6)",
+        "p_draw": "(1 + o_orderkey % 5) / (3e0 + o_custkey % 7 + o_orderkey % 5 + CAST(floor(o_totalprice) AS BIGINT) % 6)",
+        "p_away": "(1 + CAST(floor(o_totalprice) AS BIGINT) % 6) / (3e0 + o_custkey % 7 + o_orderkey % 5 + CAST(floor(o_totalprice) AS BIGINT) % 6)",
+    }),
+    "quotes": ("lineitem", {
+        "match_id": "l_orderkey",
+        "bookmaker": "'B' || CAST(l_linenumber % 3 AS VARCHAR(10))",
+        "record_id": "l_orderkey * 10000000 + CAST(round(l_extendedprice * 100) AS BIGINT) % 10000000",
+        "available_at": _plus_hours("l_shipdate", "0 - 24 * (l_partkey % 60)"),
+        "leakage_risk": "CASE WHEN l_returnflag = 'R' THEN 'review' ELSE 'safe' END",
+        "score_basis": "CASE WHEN l_linestatus = 'F' THEN 'regulation_time' ELSE 'unknown' END",
+        "home_odds": "1.1 + l_extendedprice / 20000",
+        "draw_odds": "2.0 + l_quantity / 20",
+        "away_odds": "1.3 + l_discount * 40 + l_tax * 10",
+    }),
     "players": ("lineitem", {
         "match_id": "l_orderkey",
         "side": "CASE WHEN l_linenumber % 2 = 1 THEN 'home' ELSE 'away' END",

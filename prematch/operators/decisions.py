@@ -213,7 +213,7 @@ def forecast_audit(forecasts: DataFrame, tie: list[str]) -> DataFrame:
         F.count_if(warned).alias("warned"), F.count_if(alias).alias("alias"),
         *[F.count_if(F.col("predicted_outcome") == o).alias(f"n_{o}") for o in OUTCOMES],
     )
-    number = lambda c: F.format_number(F.col(c), "0.000000")
+    number = lambda c: F.format_string("%.6f", F.col(c))
     entries = [("forecast_count", F.col("n").cast("string")), ("average_confidence", number("mean")),
                ("highest_confidence_match", F.col("hi_name")), ("highest_confidence", number("hi")),
                ("lowest_confidence_match", F.col("lo_name")), ("lowest_confidence", number("lo")),

@@ -23,15 +23,24 @@ def scaled(probs: tuple[Column, ...], temperature: float) -> tuple[Column, ...]:
     return P.renormalise(*powers)
 
 
-def temperature_losses(held_out: DataFrame, temperatures: list[float], prefix: str = "p_") -> list[float]:
-    """Mean log loss of every candidate from one pass over the rows."""
-    row = held_out.agg(*[F.avg(-F.ln(P.pick("actual", *scaled(P.triple(prefix), t)))).alias(f"t{i}") for i, t in enumerate(temperatures)]).first()
-    return list(row)
+def _loss_columns(held_out: DataFrame, temperatures: list[float], prefix: str) -> DataFrame:
+    """One row with the mean log loss of every candidate, from one pass.
+
+    With logits l and the realised outcome a, the loss at T is ln(sum exp((l_i - l_a) / T)).
+    """
+    logits = [F.ln(F.greatest(p, F.lit(EPSILON))) for p in P.triple(prefix)]
+    gaps = held_out.select(P.pick("actual", *logits).alias("__a"), *[x.alias(f"__l{i}") for i, x in enumerate(logits)]).select(
+        *[(F.col(f"__l{i}") - F.col("__a")).alias(f"__g{i}") for i in range(3)])
+
+    def loss(t: float) -> Column:
+        return F.avg(F.ln(F.exp(F.col("__g0") / t) + F.exp(F.col("__g1") / t) + F.exp(F.col("__g2") / t)))
+
+    return gaps.agg(*[loss(t).alias(f"t{i}") for i, t in enumerate(temperatures)])
 
 
 def temperature_table(held_out: DataFrame, temperatures: list[float], prefix: str = "p_") -> DataFrame:
-    """The same as rows (temperature, log_loss)."""
-    one = held_out.agg(*[F.avg(-F.ln(P.pick("actual", *scaled(P.triple(prefix), t)))).alias(f"t{i}") for i, t in enumerate(temperatures)])
+    """Candidate losses as rows (temperature, log_loss)."""
+    one = _loss_columns(held_out, temperatures, prefix)
     return one.select(F.inline(F.array(*[F.struct(F.lit(t).alias("temperature"), F.col(f"t{i}").alias("log_loss")) for i, t in enumerate(temperatures)])))
 
 
@@ -41,10 +50,10 @@ def fit_temperature(held_out: DataFrame, prefix: str = "p_", points: int = 16, r
     for _ in range(rounds):
         step = (high - low) / points
         grid = [low + i * step for i in range(points + 1)]
-        found = min(zip(temperature_losses(held_out, [1.0, *grid], prefix), [1.0, *grid]))
-        best = min(best, found)
-        inner = min(zip(temperature_losses(held_out, grid, prefix), grid))[1] if found[1] == 1.0 else found[1]
-        low, high = max(T_LOW, inner - step), min(T_HIGH, inner + step)
+        losses = list(_loss_columns(held_out, [1.0, *grid], prefix).first())
+        best = min(best, *zip(losses, [1.0, *grid]))
+        around = min(zip(losses[1:], grid))[1]
+        low, high = max(T_LOW, around - step), min(T_HIGH, around + step)
     return best[1]
 
 
@@ -53,8 +62,13 @@ def simplex(k: int, parts: int) -> list[tuple[float, ...]]:
     return [tuple(x / parts for x in (*c, parts - sum(c))) for c in itertools.product(range(parts + 1), repeat=k - 1) if sum(c) <= parts]
 
 
+def _realised(held_out: DataFrame, members: list[str]) -> DataFrame:
+    """What each member gave to the realised outcome."""
+    return held_out.select(*[P.pick("actual", *P.triple(m)).alias(f"__m{i}") for i, m in enumerate(members)])
+
+
 def _penalised(weights: tuple[float, ...], members: list[str], ridge: float) -> Column:
-    mix = sum((w * P.pick("actual", *P.triple(m)) for w, m in zip(weights[1:], members[1:])), weights[0] * P.pick("actual", *P.triple(members[0])))
+    mix = sum((w * F.col(f"__m{i + 1}") for i, w in enumerate(weights[1:])), weights[0] * F.col("__m0"))
     pull = ridge * sum((w - 1 / len(members)) ** 2 for w in weights)
     return F.avg(-F.ln(F.greatest(mix, F.lit(EPSILON)))) + F.lit(pull)
 
@@ -62,7 +76,7 @@ def _penalised(weights: tuple[float, ...], members: list[str], ridge: float) ->
 def ensemble_table(held_out: DataFrame, members: list[str], parts: int = 10, ridge: float = RIDGE) -> DataFrame:
     """Penalised loss per weight vector of a simplex grid, from one pass."""
     grid = simplex(len(members), parts)
-    one = held_out.agg(*[_penalised(w, members, ridge).alias(f"w{i}") for i, w in enumerate(grid)])
+    one = _realised(held_out, members).agg(*[_penalised(w, members, ridge).alias(f"w{i}") for i, w in enumerate(grid)])
     return one.select(F.inline(F.array(*[
         F.struct(*[F.lit(x).alias(f"w{j}") for j, x in enumerate(w)], F.col(f"w{i}").alias("loss")) for i, w in enumerate(grid)])))
 
@@ -70,7 +84,7 @@ def ensemble_table(held_out: DataFrame, members: list[str], parts: int = 10, rid
 def fit_ensemble(held_out: DataFrame, members: list[str], parts: int = 10, ridge: float = RIDGE, rounds: int = 6) -> tuple[float, ...]:
     """Convex weights minimising the penalised loss: grid, then ever smaller moves around the best vector."""
     def losses(vectors):
-        return list(held_out.agg(*[_penalised(w, members, ridge).alias(f"w{i}") for i, w in enumerate(vectors)]).first())
+        return list(_realised(held_out, members).agg(*[_penalised(w, members, ridge).alias(f"w{i}") for i, w in enumerate(vectors)]).first())
 
     k = len(members)
     start = [tuple(1 / k for _ in members), *simplex(k, parts)]

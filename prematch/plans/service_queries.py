@@ -1 +1,188 @@
-"""Registered queries."""
+"""Operational and intelligence tables (J*) and whole jobs (G18, G19, H9, H10, H19, H20, J11) over the driver tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.common import r6
+from ..operators import bitemporal as T
+from ..operators import intelligence as J
+from ..operators import ratings as R
+from . import research
+from .bindings import Tables, ctes
+from .evaluation_queries import rounded
+from .model_queries import DONE
+from .registry import query
+from .temporal_queries import AS_OF, CURRENT
+
+ELIG = ctes("matches", "eligible", "predictions", "forecasts", "quotes")
+NOW = "1999-06-01"
+LABEL = "CASE WHEN home_score > away_score THEN 'home_win' WHEN home_score < away_score THEN 'away_win' ELSE 'draw' END"
+
+
+@query("j1_forecast_batch", f"""{ELIG}, x AS (SELECT m.match_id, m.status, CASE WHEN status <> 'scheduled' THEN 'skipped' WHEN kickoff_at <= TIMESTAMP '{NOW} 12:00:00' OR (kickoff_at IS NULL AND match_date <= DATE '{NOW}') THEN 'skipped'
+     WHEN m.match_id % 301 = 0 THEN 'failed' ELSE 'forecasted' END AS s FROM matches m WHERE match_date BETWEEN DATE '1999-05-20' AND DATE '1999-09-30')
+   SELECT match_id, CASE WHEN s = 'forecasted' AND (SELECT count(*) FROM x WHERE s = 'failed') > 0 THEN 'withheld' ELSE s END AS batch_status,
+     CASE WHEN s = 'forecasted' AND (SELECT count(*) FROM x WHERE s = 'failed') > 0 THEN 'batch_failed' WHEN status <> 'scheduled' THEN 'not_scheduled' WHEN s = 'skipped' THEN 'pre_match_window_closed' WHEN s = 'failed' THEN 'no_forecast' END AS batch_reason FROM x""")
+def j1(t: Tables):
+    f = t.view("forecasts").withColumn("p_home", F.when(F.col("match_id") % 301 != 0, F.col("p_home")))
+    rows = t.matches.join(f, "match_id", "left")
+    return J.batch_statuses(rows, f"{NOW}T12:00:00Z", "1999-05-20", "1999-09-30").select("match_id", "batch_status", "batch_reason")
+
+
+@query("j2_market_disagreement", f"""{ELIG}, l AS (SELECT * FROM (SELECT *, 1 / home_odds + 1 / draw_odds + 1 / away_odds AS tot, row_number() OVER (PARTITION BY match_id, bookmaker ORDER BY available_at DESC, record_id DESC) AS rn FROM quotes
+     WHERE leakage_risk = 'safe' AND score_basis = 'regulation_time' AND available_at <= TIMESTAMP '{NOW}') WHERE rn = 1),
+   c AS (SELECT match_id, count(*) AS n, avg(1 / home_odds / tot) AS h FROM l GROUP BY match_id) SELECT f.match_id, n AS bookmakers, round(h, 6) + 0.0 AS market_home, round(p_home - h, 6) + 0.0 AS minus_market_home FROM forecasts f LEFT JOIN c ON f.match_id = c.match_id""")
+def j2(t: Tables):
+    out = J.attach_market(t.view("forecasts"), t.view("quotes"), NOW)
+    return out.select("match_id", "bookmakers", r6("market_home").alias("market_home"), r6("minus_market_home").alias("minus_market_home"))
+
+
+# Stored forecasts: every lineitem prediction counts as one forecast of its order's match.
+POST_SQL = f"""{ELIG}, fc AS (SELECT * FROM (SELECT *, row_id * 1000000 + CAST(floor(p_home * 100000) AS BIGINT) AS forecast_id FROM predictions WHERE prediction_time <= TIMESTAMP '{NOW}')),
+   lt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY prediction_time DESC, forecast_id DESC) AS rn FROM fc) WHERE rn = 1),
+   pm AS (SELECT e.match_id, l.forecast_id, e.match_date, e.home_id, e.away_id, {LABEL} AS act, l.p_home, l.p_draw, l.p_away FROM eligible e JOIN lt l ON e.match_id = l.match_id WHERE e.eligible_at <= TIMESTAMP '{NOW}'),
+   dg AS (SELECT *, CASE act WHEN 'home_win' THEN p_home WHEN 'draw' THEN p_draw ELSE p_away END AS pa, CASE act WHEN 'home_win' THEN 1 WHEN 'draw' THEN 0.5 ELSE 0 END - (p_home + 0.5 * p_draw) AS res,
+     CASE WHEN (CASE WHEN p_home >= p_draw AND p_home >= p_away THEN 'home_win' WHEN p_draw >= p_away THEN 'draw' ELSE 'away_win' END) = act THEN 'correct' ELSE 'outcome_miss' END AS cls FROM pm)"""
+
+
+def stored_forecasts(t: Tables):
+    return t.predictions.drop("actual", "home_id", "away_id").withColumn("forecast_id", F.col("row_id") * 1000000 + F.floor(F.col("p_home") * 100000))
+
+
+def post(t: Tables):
+    return J.post_match(t.eligible, stored_forecasts(t), NOW)
+
+
+@query("j3_post_match_diagnostics", POST_SQL + " SELECT match_id, forecast_id, act AS actual, round(pa, 6) + 0.0 AS actual_probability, round(-ln(greatest(pa, 1e-15)), 6) + 0.0 AS surprisal_nats, round(res, 6) + 0.0 AS home_residual, cls AS miss_classification FROM dg")
+def j3(t: Tables):
+    return post(t).select("match_id", "forecast_id", "actual", *[r6(c).alias(c) for c in ("actual_probability", "surprisal_nats", "home_residual")], "miss_classification")
+
+
+@query("j4_team_form", f"""{ctes("matches", "eligible", "sides")}, r AS (SELECT *, row_number() OVER (PARTITION BY team_id ORDER BY match_date DESC, match_id DESC) AS rn FROM sides WHERE eligible_at <= TIMESTAMP '{NOW}')
+   SELECT team_id, """ + ", ".join(f"count(*) FILTER (WHERE rn <= {n}) AS matches_{n}, round(avg(CASE WHEN gf > ga THEN 3 WHEN gf = ga THEN 1 ELSE 0 END) FILTER (WHERE rn <= {n}), 6) + 0.0 AS points_{n}, CAST(sum(gf - ga) FILTER (WHERE rn <= {n}) AS BIGINT) AS goal_difference_{n}" for n in (5, 10, 20)) + " FROM r WHERE rn <= 20 GROUP BY team_id")
+def j4(t: Tables):
+    f = J.team_form(t.eligible, NOW)
+    return f.select("team_id", *[c for n in (5, 10, 20) for c in (F.col(f"matches_{n}"), r6(f"points_{n}").alias(f"points_{n}"), F.col(f"goal_difference_{n}"))])
+
+
+@query("j4_schedule_strength")
+def j4_schedule(t: Tables):
+    history = R.glicko_history(t.eligible.filter("eligible_at IS NOT NULL"))
+    out = J.schedule_strength(t.eligible, history, NOW)
+    return out.select("team_id", "matches", r6("strength_of_schedule").alias("strength_of_schedule"), r6("opponent_adjusted_residual").alias("opponent_adjusted_residual"))
+
+
+@query("j4_next_match", POST_SQL + f""", s AS (SELECT home_id AS team_id, match_id, match_date FROM matches WHERE status = 'scheduled' AND match_date > DATE '{NOW}' UNION ALL SELECT away_id, match_id, match_date FROM matches WHERE status = 'scheduled' AND match_date > DATE '{NOW}'),
+   n AS (SELECT team_id, arg_min(match_id, (match_date, match_id)) AS match_id FROM s GROUP BY team_id), af AS (SELECT match_id, arg_max(row_id * 1000000 + CAST(floor(p_home * 100000) AS BIGINT), (prediction_time, row_id * 1000000 + CAST(floor(p_home * 100000) AS BIGINT))) AS forecast_id FROM predictions GROUP BY match_id)
+   SELECT n.team_id, n.match_id, af.forecast_id FROM n LEFT JOIN af ON n.match_id = af.match_id""")
+def j4_next(t: Tables):
+    return J.next_matches(t.eligible, stored_forecasts(t), NOW).select("team_id", "match_id", "forecast_id")
+
+
+@query("j5_watch_signals", POST_SQL + """, s AS (SELECT home_id AS team_id, match_id, match_date, res FROM dg UNION ALL SELECT away_id, match_id, match_date, -res FROM dg), r AS (SELECT *, row_number() OVER (PARTITION BY team_id ORDER BY match_date DESC, match_id DESC) AS rn FROM s),
+   a AS (SELECT team_id, count(*) AS sample, sum(res) AS total FROM r WHERE rn <= 10 GROUP BY team_id)
+   SELECT team_id, sample, round(total, 6) + 0.0 AS residual_sum, CASE WHEN sample < 5 THEN 'insufficient_history' WHEN total >= 1.5 THEN 'positive_residual' WHEN total <= -1.5 THEN 'negative_residual' ELSE 'none' END AS watch_signal FROM a""")
+def j5(t: Tables):
+    return J.watch_signals(post(t)).select("team_id", "sample", r6("residual_sum").alias("residual_sum"), "watch_signal")
+
+
+@query("j6_match_report", POST_SQL + """, af AS (SELECT match_id, row_id * 1000000 + CAST(floor(p_home * 100000) AS BIGINT) AS forecast_id, p_home FROM predictions)
+   SELECT m.match_id, m.status, a.forecast_id, round(a.p_home, 6) + 0.0 AS p_home, d.act AS actual, d.cls IS NOT NULL AS diagnosed FROM matches m LEFT JOIN af a ON m.match_id = a.match_id LEFT JOIN dg d ON d.match_id = a.match_id AND d.forecast_id = a.forecast_id""")
+def j6(t: Tables):
+    out = J.match_report(t.eligible, stored_forecasts(t), post(t))
+    return out.select("match_id", "status", "forecast_id", r6("p_home").alias("p_home"), "actual", "diagnosed")
+
+
+@query("j7_snapshot_listing", CURRENT + """, c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kind, entity_id ORDER BY recorded_at DESC, sequence DESC) AS r2 FROM vis WHERE kind = 'forecast' AND sequence <= 120000000000) WHERE r2 = 1),
+   p AS (SELECT entity_id, sequence, row_number() OVER (ORDER BY entity_id) AS n, count(*) OVER () AS total FROM c WHERE entity_id > 250)
+   SELECT entity_id, sequence, total > 40 AS truncated, CASE WHEN total > 40 THEN (SELECT entity_id FROM p WHERE n = 40) END AS next_cursor FROM p WHERE n <= 40""")
+def j7(t: Tables):
+    current = T.latest_as_of(t.records, AS_OF, 120000000000, "forecast")
+    return T.page(current, 40, 250).select("entity_id", "sequence", "truncated", "next_cursor")
+
+
+# Per part: its current 'match' record is the model, 'forecast' the metrics; the release names the first revisions it saw.
+GATE_SQL = CURRENT + """, mo AS (SELECT entity_id, sequence, available_at FROM cur WHERE kind = 'match'), me AS (SELECT entity_id, sequence FROM cur WHERE kind = 'forecast'),
+   rl AS (SELECT c.entity_id, (SELECT arg_min(sequence, (recorded_at, sequence)) FROM vis v WHERE v.kind = 'match' AND v.entity_id = c.entity_id) AS rm, (SELECT arg_min(sequence, (recorded_at, sequence)) FROM vis v WHERE v.kind = 'forecast' AND v.entity_id = c.entity_id) AS re FROM cur c WHERE kind = 'odds')"""
+
+
+def gate_inputs(t: Tables):
+    cur = T.latest_as_of(t.records, AS_OF)
+    vis = T.visible(t.records, AS_OF)
+    first = lambda kind, name: vis.filter(F.col("kind") == kind).groupBy(F.col("entity_id").alias("model_id")).agg(F.min_by("sequence", F.struct("recorded_at", "sequence")).alias(name))
+    models = cur.filter("kind = 'match'").select(F.col("entity_id").alias("model_id"), F.col("sequence").alias("record_id"), F.col("available_at").alias("training_cutoff"))
+    metrics = cur.filter("kind = 'forecast'").select(F.col("entity_id").alias("model_id"), F.col("sequence").alias("record_id"))
+    releases = cur.filter("kind = 'odds'").select(F.col("entity_id").alias("model_id")).join(first("match", "model_record_id"), "model_id", "left").join(
+        first("forecast", "metrics_record_id"), "model_id", "left")
+    return models, metrics, releases
+
+
+@query("j8_serving_gate", GATE_SQL + f""" SELECT mo.entity_id AS model_id, concat_ws(',', CASE WHEN rm IS NULL THEN 'not_released' END, CASE WHEN rm <> mo.sequence THEN 'model_changed' END, CASE WHEN rm IS NOT NULL AND re IS DISTINCT FROM me.sequence THEN 'metrics_changed' END,
+     CASE WHEN date_diff('day', mo.available_at, TIMESTAMP '{AS_OF}') > 500 THEN 'history_out_of_bounds' END) AS problems FROM mo LEFT JOIN me ON mo.entity_id = me.entity_id LEFT JOIN rl ON mo.entity_id = rl.entity_id""")
+def j8(t: Tables):
+    return J.serving_gate(*gate_inputs(t), AS_OF, 500).select("model_id", F.concat_ws(",", "problems").alias("problems"))
+
+
+@query("j9_model_facts", GATE_SQL + """ SELECT mo.entity_id AS model_id, t.n AS training_rows, t.s AS sources, mo.entity_id IN (SELECT entity_id FROM vis WHERE line = 7) AS calibrated, mo.entity_id IN (SELECT entity_id FROM rl) AS released
+   FROM mo LEFT JOIN (SELECT l_partkey, count(*) AS n, string_agg(DISTINCT l_linestatus || l_returnflag, ',' ORDER BY l_linestatus || l_returnflag) AS s FROM lineitem GROUP BY l_partkey) t ON t.l_partkey = mo.entity_id""")
+def j9(t: Tables):
+    models, _, releases = gate_inputs(t)
+    training = t.raw("lineitem").select(F.col("l_partkey").alias("model_id"), F.concat("l_linestatus", "l_returnflag").alias("source"))
+    transforms = T.visible(t.records, AS_OF).filter("line = 7").select(F.col("entity_id").alias("model_id"))
+    out = J.model_facts(models, training, transforms, releases)
+    return out.select("model_id", "training_rows", F.array_join("sources", ",").alias("sources"), "calibrated", "released")
+
+
+@query("j10_operational_lineage", f"""{ELIG} SELECT match_id, 'forecast_' || sha256('{{"match_id":' || match_id || ',"p_home":"' || printf('%.9f', p_home) || '","p_draw":"' || printf('%.9f', p_draw) || '","lineage":{{"model_record_id":"m1","metrics_record_id":"e1","approval_record_id":"a1","match_record_id":"match_' || match_id || '"}}}}') AS forecast_id FROM forecasts""")
+def j10(t: Tables):
+    out = J.with_lineage(t.view("forecasts"), F.lit("m1"), F.lit("e1"), F.lit("a1"), F.concat(F.lit("match_"), F.col("match_id")))
+    return out.select("match_id", "forecast_id")
+
+
+# ---- whole jobs ------------------------------------------------------------------------------------
+
+@query("g18_forecast_bundle")
+def g18(t: Tables):
+    bundle = research.train_bundle(t.eligible, "2000-01-01", holdout_days=180)
+    return bundle.describe(t.spark)
+
+
+@query("g19_forecast_job")
+def g19(t: Tables):
+    bundle = research.train_bundle(t.eligible, "2000-01-01", holdout_days=180)
+    fixtures = t.eligible.filter("status = 'scheduled' AND match_date >= DATE '2000-01-02'")
+    out = research.forecast(bundle, t.eligible, fixtures)
+    return out.select("match_id", *[r6(f"e_{s}").alias(f"e_{s}") for s in ("home", "draw", "away")], "ensemble_confidence", F.size("missing_features").alias("missing"), r6("history_age_days").alias("history_age_days"))
+
+
+@query("h9_logistic_tuning")
+def h9(t: Tables):
+    table = research.written(R.pre_match_table(t.matches.filter(DONE)))
+    out = research.tune_logistic(table, ["1999-01-01", "2000-01-01"], [730.0, 2190.0], [1.0, 4.0])
+    return rounded(out, "half_life", "c", "n", "place")
+
+
+@query("h10_feature_ablation")
+def h10(t: Tables):
+    table = research.written(R.pre_match_table(t.matches.filter(DONE)))
+    out = research.ablate(table, ["2000-01-01"], research.ABLATION_SETS)
+    return rounded(out, "run", "n", r6("log_loss_delta").alias("log_loss_delta"))
+
+
+@query("h19_nested_holdout")
+def h19(t: Tables):
+    out = research.nested_holdout(t.eligible, ["1999-01-01", "2000-01-01"], 90, 180)
+    return rounded(out, "fold_id", "run", "n", "leaks")
+
+
+@query("h20_research_comparison")
+def h20(t: Tables):
+    out = research.compare_models(t.eligible, ["1998-01-01", "1999-01-01", "2000-01-01"], 90)
+    return rounded(out, "run", "n", r6("log_loss_delta").alias("log_loss_delta"))
+
+
+@query("j11_scheduled_forecasts")
+def j11(t: Tables):
+    ledger, _ = research.scheduled_forecasts(t.eligible, "2000-01-01T00:00:00Z", "2000-03-31", "m1")
+    return ledger.select("fixture_id", "model_id", "predicted_outcome", r6("model_confidence").alias("model_confidence"), "status")

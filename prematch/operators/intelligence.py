@@ -11,7 +11,7 @@ from ..functions import strength as S
 from ..functions.common import compact_codes
 from .asof import is_safe, latest_per
 from .history import team_rows
-from .ratings import glicko_terms
+from .ratings import glicko_expectation
 
 # Watch rule of the residual signal.
 WATCH_WINDOW, WATCH_MINIMUM, WATCH_THRESHOLD = 10, 5, 1.5
@@ -100,11 +100,10 @@ def schedule_strength(matches: DataFrame, history: DataFrame, as_of: str, depth:
     own = history.select("team_id", F.col("effective_date").alias("match_date"), F.col("rating_before").alias("r"), F.col("deviation_before").alias("d"))
     other = history.select(F.col("team_id").alias("opponent_id"), F.col("effective_date").alias("match_date"), F.col("rating_before").alias("o_r"), F.col("deviation_before").alias("o_d"))
     j = recent.join(own, ["team_id", "match_date"]).join(other, ["opponent_id", "match_date"])
-    # both deviations widen the expectation here
-    combined = F.sqrt(F.col("d") * F.col("d") + F.col("o_d") * F.col("o_d"))
-    _, weighted = glicko_terms(F.col("r"), F.col("o_r"), combined, S.actual_score(F.col("goals_for"), F.col("goals_against")))
-    g = 1.0 / F.sqrt(1.0 + 3.0 * S.GLICKO_Q**2 * combined * combined / F.lit(9.869604401089358))
-    return j.groupBy("team_id").agg(F.count("*").alias("matches"), F.avg("o_r").alias("strength_of_schedule"), F.avg(weighted / g).alias("opponent_adjusted_residual"))
+    # both sides' deviations widen the expectation here
+    _, expected = glicko_expectation(F.col("r"), F.col("o_r"), F.col("d") * F.col("d") + F.col("o_d") * F.col("o_d"))
+    residual = S.actual_score(F.col("goals_for"), F.col("goals_against")) - expected
+    return j.groupBy("team_id").agg(F.count("*").alias("matches"), F.avg("o_r").alias("strength_of_schedule"), F.avg(residual).alias("opponent_adjusted_residual"))
 
 
 def next_matches(matches: DataFrame, forecasts: DataFrame, as_of: str) -> DataFrame:

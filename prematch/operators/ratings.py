@@ -243,13 +243,17 @@ def _glicko_replay(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["team_id", "effective_date", "rating_before", "deviation_before", "rating", "deviation"])
 
 
+def glicko_expectation(own_rating: Column, other_rating: Column, deviation_squared: Column) -> tuple[Column, Column]:
+    """Attenuation g for an uncertainty, and the expected score under it."""
+    g = 1.0 / F.sqrt(1.0 + 3.0 * S.GLICKO_Q**2 * deviation_squared / math.pi**2)
+    exponent = F.greatest(F.lit(-300.0), F.least(F.lit(300.0), -g * (own_rating - other_rating) / 400.0))
+    return g, 1.0 / (1.0 + F.pow(F.lit(10.0), exponent))
+
+
 def glicko_terms(own_rating: Column, other_rating: Column, other_deviation: Column, score: Column) -> tuple[Column, Column]:
     """Information and residual one game adds to a team's period."""
-    q = S.GLICKO_Q
-    g = 1.0 / F.sqrt(1.0 + 3.0 * q * q * other_deviation * other_deviation / math.pi**2)
-    exponent = F.greatest(F.lit(-300.0), F.least(F.lit(300.0), -g * (own_rating - other_rating) / 400.0))
-    e = 1.0 / (1.0 + F.pow(F.lit(10.0), exponent))
-    return q * q * g * g * e * (1.0 - e), g * (score - e)
+    g, e = glicko_expectation(own_rating, other_rating, other_deviation * other_deviation)
+    return S.GLICKO_Q**2 * g * g * e * (1.0 - e), g * (score - e)
 
 
 def _glicko_by_day(pool: DataFrame) -> DataFrame:

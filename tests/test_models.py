@@ -54,10 +54,10 @@ def test_joint_goal_model_equals_newton(spark, goals, columns):
     df = spark.createDataFrame(goals, "match_id LONG, home_id INT, away_id INT, home_score INT, away_score INT, neutral BOOLEAN")
     teams, scalars = O.fit_opponent_poisson(df, max_columns=columns)
     base, home, att, dfn = newton(goals)
-    assert scalars["base"] == pytest.approx(base, abs=1e-6) and scalars["home"] == pytest.approx(home, abs=1e-6)
+    assert scalars["base"] == pytest.approx(base, abs=1e-5) and scalars["home"] == pytest.approx(home, abs=1e-5)
     got = {int(r["team"]): (r["attack"], r["defence"]) for r in teams.collect()}
     for i in range(6):
-        assert got[i] == pytest.approx((att[i], dfn[i]), abs=1e-6)
+        assert got[i] == pytest.approx((att[i], dfn[i]), abs=1e-5)
     assert O.beyond_bounds(teams, scalars).count() == 0
 
 
@@ -158,7 +158,7 @@ def test_drift_is_zero_on_itself(spark):
 def test_bootstrap_repeats_and_needs_four_blocks(spark):
     rows = [(dt.datetime(2024, 1, 1) + dt.timedelta(days=i), "draw", 0.3, 0.4, 0.3, 0.2, 0.6, 0.2) for i in range(200)]
     df = spark.createDataFrame(rows, "prediction_time TIMESTAMP, actual STRING, p_home DOUBLE, p_draw DOUBLE, p_away DOUBLE, q_home DOUBLE, q_draw DOUBLE, q_away DOUBLE")
-    run = lambda d: [tuple(r) for r in V.block_bootstrap(V.block_sums(d), 200).orderBy("metric").collect()]
+    run = lambda d: [tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in V.block_bootstrap(V.block_sums(d), 200).orderBy("metric").collect()]
     first = run(df)
     assert first == run(df.repartition(7))
     for _, metric, delta, low, high, status in first:

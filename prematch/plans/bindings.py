@@ -204,9 +204,18 @@ class Tables:
     def raw(self, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{table}.parquet")
 
+    def spread(self, df: DataFrame) -> DataFrame:
+        """Spread a table that arrives as fewer files than there are cores.
+
+        A one-file, one-row-group table is read by a single task, and everything up to the first
+        shuffle would run there. Tables of ordinary size have more files than cores and are left alone.
+        """
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
     def view(self, name: str) -> DataFrame:
         table, columns = VIEWS[name]
-        return self.raw(table).selectExpr(
+        return self.spread(self.raw(table)).selectExpr(
             *[f"{e[0] if isinstance(e, tuple) else e} AS {n}" for n, e in columns.items()]
         )
 

@@ -20,18 +20,38 @@ M = ctes("matches")
 DONE = "status = 'completed'"
 
 
-@query("f1_elo_replay")
+# One recursion step per match; the state is the list of all team ratings (team ids are 0..96).
+WEIGHT = "CASE tournament WHEN 'FIFA World Cup' THEN 1.6e0 WHEN 'FIFA World Cup qualification' THEN 1.25e0 WHEN 'UEFA Euro' THEN 1.15e0 WHEN 'Friendly' THEN 0.75e0 ELSE 1e0 END"
+
+
+def elo_sql(order: str) -> str:
+    """WITH clause ending in elo(match_id, hb, ab, ch, ex): a sequential replay in plain SQL."""
+    return M.replace("WITH ", "WITH RECURSIVE ", 1) + f""", o AS MATERIALIZED (SELECT row_number() OVER (ORDER BY {order}) AS n, match_id, home_id + 1 AS h, away_id + 1 AS a, home_score AS hs, away_score AS aws,
+     CASE WHEN neutral THEN 0e0 ELSE 75e0 END AS adv, {WEIGHT} AS w FROM matches WHERE {DONE}),
+   e(n, match_id, hb, ab, ch, ex, r) AS (SELECT CAST(0 AS BIGINT), CAST(-1 AS BIGINT), 0e0, 0e0, 0e0, 0e0, list_transform(range(97), lambda x: 1500e0)
+     UNION ALL SELECT n, match_id, hb, ab, ch, ex, list_transform(r, lambda x, i: CASE WHEN i = h THEN x + ch WHEN i = a THEN x - ch ELSE x END) FROM (
+       SELECT n, match_id, h, a, r, rh AS hb, ra AS ab, ex, 20 * w * CASE WHEN abs(hs - aws) <= 1 THEN 1e0 ELSE ln(abs(hs - aws) + 1) * 2.2e0 / (0.001e0 * abs(rh + adv - ra) + 2.2e0) END
+         * (CASE WHEN hs > aws THEN 1e0 WHEN hs = aws THEN 0.5e0 ELSE 0e0 END - ex) AS ch
+       FROM (SELECT o.*, e.r, e.r[o.h] AS rh, e.r[o.a] AS ra, 1 / (1 + pow(10, (e.r[o.a] - e.r[o.h] - o.adv) / 400)) AS ex FROM e JOIN o ON o.n = e.n + 1))),
+   elo AS (SELECT match_id, hb, ab, ch, ex, n FROM e WHERE n > 0)"""
+
+
+BY_DATE = elo_sql("match_date, home_id, away_id, match_id")
+
+
+@query("f1_elo_replay", BY_DATE + " SELECT match_id, round(hb, 6) + 0.0 AS home_before, round(ab, 6) + 0.0 AS away_before, round(hb + ch, 6) + 0.0 AS home_after, round(ab - ch, 6) + 0.0 AS away_after, round(ex, 6) + 0.0 AS expected_home, round(ch, 6) + 0.0 AS rating_change FROM elo")
 def f1(t: Tables):
     h = R.elo_history(t.matches.filter(DONE))
     return h.select("match_id", *[r6(c).alias(c) for c in ("home_before", "away_before", "home_after", "away_after", "expected_home", "rating_change")])
 
 
-@query("f1_elo_final_ratings")
+@query("f1_elo_final_ratings", BY_DATE + """, s AS (SELECT m.home_id AS team_id, n, hb + ch AS rating FROM elo JOIN matches m ON m.match_id = elo.match_id UNION ALL SELECT m.away_id, n, ab - ch FROM elo JOIN matches m ON m.match_id = elo.match_id)
+   SELECT team_id, count(*) AS matches, round(arg_max(rating, n), 6) + 0.0 AS rating FROM s GROUP BY team_id""")
 def f1_final(t: Tables):
     return R.elo_final(R.elo_history(t.matches.filter(DONE))).select("team_id", "matches", r6("rating").alias("rating"))
 
 
-@query("f2_elo_kickoff_order")
+@query("f2_elo_kickoff_order", elo_sql("match_date, kickoff_at IS NULL, kickoff_at, home_id, away_id, match_id") + " SELECT match_id, round(hb, 6) + 0.0 AS home_before, round(ex, 6) + 0.0 AS expected_home, round(ch, 6) + 0.0 AS rating_change FROM elo")
 def f2(t: Tables):
     h = R.elo_history(t.matches.filter(DONE), order=R.KICKOFF_ORDER)
     return h.select("match_id", r6("home_before").alias("home_before"), r6("expected_home").alias("expected_home"), r6("rating_change").alias("rating_change"))
@@ -43,7 +63,24 @@ def f3(t: Tables):
     return R.ambiguous_order(t.matches).withColumn("match_date", F.col("match_date").cast("string"))
 
 
-@query("f4_glicko_replay")
+# One step per day played. States are lists of ratings, deviations and last days; games lists both views of every match.
+Q2 = "pow(ln(10) / 400, 2)"
+G = f"1 / sqrt(1 + 3 * {Q2} * pow(pd[g.p], 2) / pow(pi(), 2))"
+EXP = f"1 / (1 + pow(10, -({G}) * (rr[g.o] - rr[g.p]) / 400))"
+GLICKO_SQL = M.replace("WITH ", "WITH RECURSIVE ", 1) + f""", v AS (SELECT match_date AS d, home_id + 1 AS o, away_id + 1 AS p, CASE WHEN home_score > away_score THEN 1e0 WHEN home_score = away_score THEN 0.5e0 ELSE 0e0 END AS s FROM matches WHERE {DONE}
+     UNION ALL SELECT match_date, away_id + 1, home_id + 1, CASE WHEN home_score > away_score THEN 0e0 WHEN home_score = away_score THEN 0.5e0 ELSE 1e0 END FROM matches WHERE {DONE}),
+   dy AS MATERIALIZED (SELECT row_number() OVER (ORDER BY d) AS n, d, list({{'o': o, 'p': p, 's': s}}) AS gm, list(DISTINCT o) AS tm FROM v GROUP BY d),
+   st(n, d, tm, r0, pd, rr, dd, ll) AS (SELECT CAST(0 AS BIGINT), DATE '1900-01-01', CAST([] AS BIGINT[]), list_transform(range(97), lambda x: 1500e0), list_transform(range(97), lambda x: 350e0), list_transform(range(97), lambda x: 1500e0),
+       list_transform(range(97), lambda x: 350e0), list_transform(range(97), lambda x: CAST(NULL AS DATE))
+     UNION ALL SELECT n, d, tm, rr, pd, list_transform(rr, lambda x, i: CASE WHEN list_contains(tm, i) THEN x + ln(10) / 400 / (1 / pow(pd[i], 2) + inf[i]) * res[i] ELSE x END),
+       list_transform(dd, lambda x, i: CASE WHEN list_contains(tm, i) THEN sqrt(1 / (1 / pow(pd[i], 2) + inf[i])) ELSE x END), list_transform(ll, lambda x, i: CASE WHEN list_contains(tm, i) THEN d ELSE x END)
+     FROM (SELECT *, list_transform(range(1, 98), lambda i: coalesce(list_sum(list_transform(tr, lambda t: CASE WHEN t.o = i THEN t.a END)), 0)) AS inf, list_transform(range(1, 98), lambda i: coalesce(list_sum(list_transform(tr, lambda t: CASE WHEN t.o = i THEN t.b END)), 0)) AS res
+       FROM (SELECT *, list_transform(gm, lambda g: {{'o': g.o, 'a': {Q2} * pow({G}, 2) * ({EXP}) * (1 - {EXP}), 'b': ({G}) * (g.s - {EXP})}}) AS tr
+         FROM (SELECT dy.n, dy.d, dy.gm, dy.tm, st.rr, st.dd, st.ll, list_transform(st.dd, lambda x, i: CASE WHEN st.ll[i] IS NULL THEN x ELSE least(350, sqrt(x * x + 2500 * date_diff('day', st.ll[i], dy.d) / 30e0)) END) AS pd FROM st JOIN dy ON dy.n = st.n + 1)))),
+   gl AS (SELECT d, unnest(tm) AS t, r0, pd, rr, dd FROM st WHERE n > 0)"""
+
+
+@query("f4_glicko_replay", GLICKO_SQL + " SELECT t - 1 AS team_id, CAST(d AS VARCHAR) AS effective_date, round(r0[t], 6) + 0.0 AS rating_before, round(pd[t], 6) + 0.0 AS deviation_before, round(rr[t], 6) + 0.0 AS rating, round(dd[t], 6) + 0.0 AS deviation FROM gl")
 def f4(t: Tables):
     g = R.glicko_history(t.matches.filter(DONE))
     return g.select("team_id", F.col("effective_date").cast("string").alias("effective_date"), *[r6(c).alias(c) for c in ("rating_before", "deviation_before", "rating", "deviation")])

@@ -367,14 +367,6 @@ def e20(t: Tables):
     return ids.fingerprint(usable, ["match_id", "rest_ms"], ["target"])
 
 
-@query("e21_pre_match_table")
-def e21(t: Tables):
-    from ..operators import ratings as R
-
-    table = R.pre_match_table(t.matches.filter("status = 'completed'"))
-    return table.select("match_id", "outcome", *[r6(c).alias(c) for c in R.PRE_MATCH_COLUMNS])
-
-
 SLATE_SQL = REPLAY_ROWS + """, ls AS (SELECT *, row_number() OVER (PARTITION BY team_id ORDER BY match_date DESC, home_id DESC, away_id DESC, match_id DESC) AS rn FROM r WHERE match_date < DATE '1999-01-01'),
    tf AS (SELECT team_id, avg(CASE WHEN gf > ga THEN 3 WHEN gf = ga THEN 1 ELSE 0 END) FILTER (WHERE rn <= 5) AS p5, avg(gf - ga) FILTER (WHERE rn <= 10) AS d10 FROM ls WHERE rn <= 10 GROUP BY team_id)
    SELECT m.match_id, round(coalesce(h.p5, 1e0), 6) + 0.0 AS home_points_5, round(coalesce(a.p5, 1e0), 6) + 0.0 AS away_points_5, round(coalesce(h.d10, 0e0), 6) + 0.0 AS home_diff_10, round(coalesce(a.d10, 0e0), 6) + 0.0 AS away_diff_10

@@ -13,7 +13,7 @@ from ..operators import ratings as R
 from ..operators import transforms as X
 from .bindings import Tables, ctes
 from .evaluation_queries import PRED
-from .feature_queries import PAIR_SQL, pair_codes
+from .feature_queries import PAIR_SQL, REPLAY_ROWS, _replay_sql, pair_codes
 from .registry import query
 
 M = ctes("matches")
@@ -57,6 +57,20 @@ def f2(t: Tables):
     return h.select("match_id", r6("home_before").alias("home_before"), r6("expected_home").alias("expected_home"), r6("rating_change").alias("rating_change"))
 
 
+FORM_COLUMNS = ", ".join(f"{a}.form_{n}_{m}_per_match AS {side}_form_{n}_{m}_per_match" for a, side in (("h", "home"), ("w", "away")) for n in (5, 10)
+                         for m in ("points", "goal_diff", "goals_for", "goals_against"))
+
+
+@query("e21_pre_match_table", BY_DATE + REPLAY_ROWS[len(M):] + f""", fm AS (SELECT match_id, side, {_replay_sql(5)}, {_replay_sql(10)} FROM r)
+   SELECT m.match_id, CASE WHEN home_score > away_score THEN 'home_win' WHEN home_score < away_score THEN 'away_win' ELSE 'draw' END AS outcome, round(hb, 6) + 0.0 AS home_elo_pre, round(ab, 6) + 0.0 AS away_elo_pre,
+     round(hb - ab, 6) + 0.0 AS elo_diff_home_minus_away, round(abs(hb - ab), 6) + 0.0 AS abs_elo_diff, round(ex, 6) + 0.0 AS elo_expected_home_score, round(1 - ex, 6) + 0.0 AS elo_expected_away_score,
+     CASE WHEN neutral THEN 1e0 ELSE 0e0 END AS is_neutral, CASE WHEN tournament = 'FIFA World Cup' THEN 1e0 ELSE 0e0 END AS is_world_cup, {WEIGHT} AS tournament_importance, {FORM_COLUMNS}
+   FROM elo JOIN matches m ON m.match_id = elo.match_id JOIN fm h ON h.match_id = m.match_id AND h.side = 'home' JOIN fm w ON w.match_id = m.match_id AND w.side = 'away'""")
+def e21(t: Tables):
+    table = R.pre_match_table(t.matches.filter(DONE))
+    return table.select("match_id", "outcome", *[r6(c).alias(c) for c in R.PRE_MATCH_COLUMNS])
+
+
 @query("f3_ambiguous_order", f"""{M}, s AS (SELECT match_date, kickoff_at, home_id AS team_id FROM matches UNION ALL SELECT match_date, kickoff_at, away_id FROM matches)
    SELECT CAST(match_date AS VARCHAR) AS match_date, team_id, count(*) AS matches, count(*) FILTER (WHERE kickoff_at IS NULL) AS unknown_kickoffs FROM s GROUP BY 1, 2 HAVING count(*) > 1 AND count(*) FILTER (WHERE kickoff_at IS NULL) > 0""")
 def f3(t: Tables):

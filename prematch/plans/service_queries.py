@@ -9,9 +9,9 @@ from ..operators import bitemporal as T
 from ..operators import intelligence as J
 from ..operators import ratings as R
 from . import research
-from .bindings import Tables, ctes
+from .bindings import SQL_ELIGIBLE, SQL_SIDES, Tables, ctes
 from .evaluation_queries import rounded
-from .model_queries import DONE
+from .model_queries import DONE, GLICKO_SQL, M
 from .registry import query
 from .temporal_queries import AS_OF, CURRENT
 
@@ -66,7 +66,11 @@ def j4(t: Tables):
     return f.select("team_id", *[c for n in (5, 10, 20) for c in (F.col(f"matches_{n}"), r6(f"points_{n}").alias(f"points_{n}"), F.col(f"goal_difference_{n}"))])
 
 
-@query("j4_schedule_strength")
+@query("j4_schedule_strength", GLICKO_SQL.replace("WITH RECURSIVE " + M[5:] + ", ", "WITH RECURSIVE " + M[5:] + f", eligible AS ({SQL_ELIGIBLE}), sides AS ({SQL_SIDES}), ", 1).replace(f"FROM matches WHERE {DONE}", "FROM eligible WHERE eligible_at IS NOT NULL") + f""", b AS (SELECT t - 1 AS team_id, d, r0[t] AS rb, pd[t] AS db FROM gl),
+   l AS (SELECT *, row_number() OVER (PARTITION BY team_id ORDER BY match_date DESC, match_id DESC) AS rn FROM sides WHERE eligible_at <= TIMESTAMP '{NOW}'),
+   x AS (SELECT l.team_id, o.rb AS orb, CASE WHEN gf > ga THEN 1e0 WHEN gf = ga THEN 0.5e0 ELSE 0e0 END - 1 / (1 + pow(10, -(1 / sqrt(1 + 3 * pow(ln(10) / 400, 2) * (s.db * s.db + o.db * o.db) / pow(pi(), 2))) * (s.rb - o.rb) / 400)) AS res
+     FROM l JOIN b s ON s.team_id = l.team_id AND s.d = l.match_date JOIN b o ON o.team_id = l.opponent_id AND o.d = l.match_date WHERE rn <= 20)
+   SELECT team_id, count(*) AS matches, round(avg(orb), 6) + 0.0 AS strength_of_schedule, round(avg(res), 6) + 0.0 AS opponent_adjusted_residual FROM x GROUP BY team_id""")
 def j4_schedule(t: Tables):
     history = R.glicko_history(t.eligible.filter("eligible_at IS NOT NULL"))
     out = J.schedule_strength(t.eligible, history, NOW)

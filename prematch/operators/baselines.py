@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,30 +78,34 @@ def expected_goals(fixtures: DataFrame, teams: DataFrame, by: list[str] = (), un
 
 
 def _pmf(rate: Column, top: int) -> Column:
-    return F.array(*[F.exp(k * F.ln(rate) - rate - math.lgamma(k + 1)) for k in range(top + 1)])
+    """Poisson shares 0..top, each from the one before, so equal neighbours tie exactly."""
+    first = F.array(F.exp(-rate))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(top)), first, lambda done, k: F.concat(done, F.array(F.element_at(done, -1) * rate / k)))
 
 
 def score_grid(fixtures: DataFrame, top: int = GRID) -> DataFrame:
     """Outcome shares, modal score, entropy and omitted tail of the independent score grid.
 
-    The (top + 1)^2 cells live inside each row as arrays, so no row is multiplied and nothing shuffles.
+    The grid is a product of two short arrays inside each row: running totals give the shares in
+    top + 1 steps, and the modal cell is the pair of modal goals. No row is multiplied, nothing shuffles.
     """
-    out = fixtures.withColumn("__h", _pmf(F.col("home_rate"), top)).withColumn("__a", _pmf(F.col("away_rate"), top))
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    out = out.withColumn("__kept", total(F.col("__h")) * total(F.col("__a")))
-    goals = F.sequence(F.lit(0), F.lit(top))
-    cells = F.flatten(F.transform(goals, lambda i: F.transform(goals, lambda j: F.struct(
-        (F.element_at("__h", i + 1) * F.element_at("__a", j + 1) / F.col("__kept")).alias("p"), i.alias("h"), j.alias("a")))))
-    out = out.withColumn("__cells", F.when(F.col("home_rate").isNotNull() & F.col("away_rate").isNotNull(), cells))
-    share = lambda keep: F.aggregate(F.filter("__cells", keep), F.lit(0.0), lambda s, c: s + c["p"])
-    out = out.withColumns({
-        "p_home": share(lambda c: c["h"] > c["a"]), "p_draw": share(lambda c: c["h"] == c["a"]), "p_away": share(lambda c: c["h"] < c["a"]),
-        "__mode": F.array_max(F.transform("__cells", lambda c: F.struct(c["p"].alias("p"), (-c["h"]).alias("nh"), (-c["a"]).alias("na")))),
-    })
+    rated = F.col("home_rate").isNotNull() & F.col("away_rate").isNotNull()
+    out = fixtures.withColumns({"__h": F.when(rated, _pmf(F.col("home_rate"), top)), "__a": F.when(rated, _pmf(F.col("away_rate"), top))})
+    zero = F.struct(*[F.lit(0.0).alias(n) for n in ("home", "draw", "away", "h", "a")])
+
+    def step(acc: Column, pair: Column) -> Column:
+        h, a = pair["h"], pair["a"]
+        return F.struct((acc["home"] + h * acc["a"]).alias("home"), (acc["draw"] + h * a).alias("draw"), (acc["away"] + a * acc["h"]).alias("away"),
+                        (acc["h"] + h).alias("h"), (acc["a"] + a).alias("a"))
+
+    pairs = F.zip_with("__h", "__a", lambda h, a: F.struct(h.alias("h"), a.alias("a")))
+    out = out.withColumn("__t", F.aggregate(pairs, zero, step)).withColumn("__kept", F.col("__t.h") * F.col("__t.a"))
+    out = out.withColumns({f"p_{s}": F.col(f"__t.{s}") / F.col("__kept") for s in SIDES})
+    place = lambda c: (F.array_position(F.col(c), F.array_max(c)) - 1).cast("int")
     return out.withColumns({
-        "mode_home": -F.col("__mode.nh"), "mode_away": -F.col("__mode.na"), "mode_probability": F.col("__mode.p"),
-        "entropy": P.entropy_nats(*P.triple()), "omitted_tail": F.when(F.col("__kept").isNotNull(), F.greatest(F.lit(0.0), 1.0 - F.col("__kept"))),
-    }).drop("__h", "__a", "__kept", "__mode", "__cells")
+        "mode_home": place("__h"), "mode_away": place("__a"), "mode_probability": F.array_max("__h") * F.array_max("__a") / F.col("__kept"),
+        "entropy": F.when(rated, P.entropy_nats(*P.triple())), "omitted_tail": F.when(rated, F.greatest(F.lit(0.0), 1.0 - F.col("__kept"))),
+    }).drop("__h", "__a", "__t", "__kept")
 
 
 def combine_members(rows: DataFrame, weight: float = 0.5, first: str = "p_", second: str = "q_") -> DataFrame:

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from .decontaminate import OP6_SQL, op6_decontaminate
+from .language_id import op3_language_id
 from .license_scan import OP2_SQL, op2_license_scan
 from .mixing import OP9_SQL, op9_mix_sources
 from .quality_outliers import op7_quality_outliers
+from .url_graph import op1_url_filter
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op2_license_scan": op2_license_scan,
+    "op3_language_id": op3_language_id,
     "op6_decontaminate": op6_decontaminate,
     "op7_quality_outliers": op7_quality_outliers,
     "op9_mix_sources": op9_mix_sources,

@@ -39,3 +39,8 @@ def written(df: DataFrame) -> DataFrame:
 def small_side(df: DataFrame, max_rows: int) -> DataFrame:
     """Marked for broadcast if it has at most max_rows rows; left to Spark's choice of join otherwise."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def text_batches(spark: SparkSession, rows: int = 256) -> None:
+    """Hand texts to Python in small batches, so that very long ones fit a worker's memory together."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)

@@ -7,6 +7,7 @@ from .language_id import op3_language_id
 from .license_scan import OP2_SQL, op2_license_scan
 from .mixing import OP9_SQL, op9_mix_sources
 from .quality_outliers import op7_quality_outliers
+from .secret_scan import op10_secret_scan
 from .url_graph import op1_url_filter
 
 QUERIES = {
@@ -16,5 +17,6 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op7_quality_outliers": op7_quality_outliers,
     "op9_mix_sources": op9_mix_sources,
+    "op10_secret_scan": op10_secret_scan,
 }
 ORACLES = {"op2_license_scan": OP2_SQL, "op6_decontaminate": OP6_SQL, "op9_mix_sources": OP9_SQL}

@@ -6,6 +6,7 @@ from .decontaminate import OP6_SQL, op6_decontaminate
 from .language_id import op3_language_id
 from .license_scan import OP2_SQL, op2_license_scan
 from .mixing import OP9_SQL, op9_mix_sources
+from .near_dedup import op8_near_dedup
 from .quality_outliers import op7_quality_outliers
 from .secret_scan import op10_secret_scan
 from .url_graph import op1_url_filter
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op6_decontaminate": op6_decontaminate,
     "op7_quality_outliers": op7_quality_outliers,
+    "op8_near_dedup": op8_near_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_secret_scan": op10_secret_scan,
 }

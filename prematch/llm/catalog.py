@@ -9,12 +9,14 @@ from .mixing import OP9_SQL, op9_mix_sources
 from .near_dedup import op8_near_dedup
 from .quality_outliers import op7_quality_outliers
 from .secret_scan import op10_secret_scan
+from .substring_dedup import op5_substring_dedup
 from .url_graph import op1_url_filter
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_license_scan": op2_license_scan,
     "op3_language_id": op3_language_id,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_decontaminate": op6_decontaminate,
     "op7_quality_outliers": op7_quality_outliers,
     "op8_near_dedup": op8_near_dedup,

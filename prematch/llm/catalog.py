@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import OP6_SQL, op6_decontaminate
+from .html_extract import op4_html_extract
 from .language_id import op3_language_id
 from .license_scan import OP2_SQL, op2_license_scan
 from .mixing import OP9_SQL, op9_mix_sources
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_license_scan": op2_license_scan,
     "op3_language_id": op3_language_id,
+    "op4_html_extract": op4_html_extract,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_decontaminate": op6_decontaminate,
     "op7_quality_outliers": op7_quality_outliers,

@@ -23,7 +23,7 @@ SAMPLE_PER_LANGUAGE = 400   # labelled rows to learn from, expected; the rest of
 SAMPLE_ROWS = 12_000        # in all, expected; more languages get fewer rows each
 DIM = 4096                  # hashed byte bigrams and trigrams
 UNKNOWN = "und"
-LEAST_SCORE = 0.5           # below it the pipeline rejects a document
+LEAST_SCORE = 0.2           # below it the pipeline rejects a document
 
 _FOLD = np.array([b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256)], dtype=np.uint32)
 

@@ -158,7 +158,7 @@ def cross_pairs(members: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """(doc_id, row_key, class_id, n_class): one row per row of docs; class_id is the least doc_id of its class.
+    """(doc_id, row_key, label, class_id, n_class): one row per row of docs; class_id is the least doc_id of its class, label its name.
 
     Texts with the same normalised words are one node. Nodes that share a band are linked where their weighted Jaccard
     similarity is at least ``similar``, and classes are the connected components. Links are looked for in three rounds,
@@ -207,15 +207,23 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
             labels = components(links.unionByName(last))
     own = labelled(signed.select("doc_id", "row_key", F.coalesce("node", F.concat(F.lit("none "), F.col("row_key"), F.lit(" "), F.monotonically_increasing_id())).alias("node")), labels)
     sums = own.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_class"))
-    return own.join(sums, "label").select("doc_id", "row_key", "class_id", "n_class")
+    return own.join(sums, "label").select("doc_id", "row_key", "label", "class_id", "n_class")
 
 
 def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """docs without the near-duplicates: of each class the row with the least doc_id stays, and one of rows that repeat it."""
-    found = classes(docs, similar)
-    out = found.filter((F.col("n_class") > 1) & ~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("row_key").alias("dup_key")).distinct()
-    kept = docs.join(out, row_key(docs["doc_id"], docs["text"]) == F.col("dup_key"), "left_anti")
-    return kept
+    """docs without the near-duplicates: of each class one row with the least doc_id stays."""
+    found = written(classes(docs, similar).filter("n_class > 1"))
+    first = F.col("doc_id").eqNullSafe(F.col("class_id"))
+    out = found.filter(~first).select("row_key")
+    again = found.filter(first).groupBy("label").agg(F.count("*").alias("n"), F.min("row_key").alias("row_key")).filter("n > 1").select("row_key", "label")
+    keyed = docs.withColumn("ded_key", row_key(F.col("doc_id"), F.col("text")))
+    if again.isEmpty():
+        return keyed.join(out.distinct().withColumnRenamed("row_key", "ded_key"), "ded_key", "left_anti").select(*docs.columns)
+    # rows that repeat the least doc_id of their class: all of them go, then one comes back
+    rows = found.filter(first).join(again.select("label"), "label", "left_semi").select("row_key")
+    rest = keyed.join(out.unionByName(rows).distinct().withColumnRenamed("row_key", "ded_key"), "ded_key", "left_anti").select(*docs.columns)
+    one = keyed.join(again.select(F.col("row_key").alias("ded_key")), "ded_key", "left_semi").dropDuplicates(["ded_key"])
+    return rest.unionByName(one.select(*docs.columns))
 
 
 def op8_near_dedup(spark: SparkSession, folder: str) -> DataFrame:

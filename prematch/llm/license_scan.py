@@ -48,17 +48,17 @@ def with_shingles(rows: DataFrame) -> DataFrame:
     return rows.withColumn("s", F.when(F.size("w") >= SHINGLE, hashes).otherwise(F.array().cast("array<bigint>"))).drop("w", "text")
 
 
-def _keys(rows: DataFrame, stride: int) -> DataFrame:
-    """(id, key) of the column s of shingle hashes: for each window and band the least of the band's hashes.
+def _keys(rows: DataFrame, stride: int, *others: str) -> DataFrame:
+    """(id, key) of the column s of shingle hashes: for each window and band the least of the band's hashes; others: columns whose values are added.
 
     Bands hash with seeds of their own, so one key column serves all. The keys are an array column before they are
     exploded: with the hashes beside it, every exploded row would carry the whole document. explode_outer, as explode adds
     a filter on the array's size, which is pushed below the projections and computes the array again without them.
     """
     starts = F.when(F.size("s") > 0, F.sequence(F.lit(1), F.greatest(F.size("s") - (WINDOW - stride), F.lit(1)), F.lit(stride)))
-    rows = rows.select("id", starts.alias("p"), *[F.transform("s", _band_hash(b)).alias(f"h{b}") for b in range(BANDS)])
+    rows = rows.select("id", starts.alias("p"), *others, *[F.transform("s", _band_hash(b)).alias(f"h{b}") for b in range(BANDS)])
     mins = [F.transform("p", _least_in_window(f"h{b}")) for b in range(BANDS)]
-    return rows.select("id", F.array_distinct(F.flatten(F.array(*mins))).alias("keys")).select("id", F.explode_outer("keys").alias("key"))
+    return rows.select("id", F.array_distinct(F.flatten(F.array(*mins, *others))).alias("keys")).select("id", F.explode_outer("keys").alias("key"))
 
 
 def _band_hash(b: int):
@@ -82,22 +82,25 @@ def scan(docs: DataFrame, templates=TEMPLATES, contained: float = CONTAINED) ->
 
     Null, empty and short texts have no shingles and no match. Repeated rows share one result. No rows: no rows.
     """
-    spark = docs.sparkSession
-    known = written(template_table(spark, templates))
-    keys = small_side(_keys(known, 1).select(F.col("id").alias("template"), "key").distinct(), KEY_ROWS)
-    rows = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("id"), "text")
-    found = written(_keys(with_shingles(rows), STRIDE).join(keys, "key").select(F.col("id").alias("row_key"), "template").distinct())
-    texts = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("row_key"), "text").join(found.select("row_key").distinct(), "row_key", "left_semi").dropDuplicates(["row_key"])
-    ready = found.join(with_shingles(texts), "row_key").join(F.broadcast(known.select(F.col("id").alias("template"), F.col("s").alias("want"))), "template")
-    share = F.size(F.array_intersect("want", "s")) / F.size(F.array_distinct("want"))
-    return ready.select("row_key", "template", share.alias("containment")).filter(F.col("containment") >= contained)
+    known = written(template_table(docs.sparkSession, templates))
+    bands = _keys(known, 1).select(F.col("id").alias("template"), "key", F.lit(0).alias("shingle"))
+    wanted = known.select(F.col("id").alias("template"), F.explode("s").alias("key"), F.lit(1).alias("shingle"))
+    table = small_side(written(bands.unionByName(wanted).distinct()), KEY_ROWS)
+    # seeds part the keys of bands from those of shingles, so one pass over the documents finds both
+    rows = with_shingles(docs.select(row_key(F.col("doc_id"), F.col("text")).alias("id"), "text"))
+    found = _keys(rows, STRIDE, "s").select(F.col("id").alias("row_key"), "key").join(table, "key")
+    found = found.groupBy("row_key", "template").agg(F.min("shingle").alias("least"), F.countDistinct(F.when(F.col("shingle") == 1, F.col("key"))).alias("n"))
+    total = F.broadcast(known.select(F.col("id").alias("template"), F.size(F.array_distinct("s")).alias("total")))
+    share = F.col("n") / F.col("total")
+    return found.filter("least = 0").join(total, "template").select("row_key", "template", share.alias("containment")).filter(F.col("containment") >= contained)
 
 
 def licenses(docs: DataFrame, **settings) -> DataFrame:
     """docs with license_ids (sorted, comma-joined, empty if none) and n_licenses."""
     found = scan(docs, **settings).groupBy(F.col("row_key").alias("lic_key")).agg(F.array_join(F.array_sort(F.collect_set("template")), ",").alias("lic_ids"), F.countDistinct("template").alias("lic_n"))
-    joined = docs.join(found, row_key(docs["doc_id"], docs["text"]) == F.col("lic_key"), "left")
-    kept = [docs[c] for c in docs.columns if c not in ("license_ids", "n_licenses")]
+    kept = [c for c in docs.columns if c not in ("license_ids", "n_licenses")]
+    # the key is a column before the join, so a text that nobody asks for is not shuffled
+    joined = docs.select(*kept, row_key(F.col("doc_id"), F.col("text")).alias("lic_key")).join(found, "lic_key", "left")
     return joined.select(*kept, F.coalesce("lic_ids", F.lit("")).alias("license_ids"), F.coalesce("lic_n", F.lit(0)).alias("n_licenses"))
 
 

@@ -28,13 +28,11 @@ def content_id(prefix: str, payload: Column | str) -> Column:
 def fingerprint(df: DataFrame, columns: list[str], group: list[str] | None = None) -> DataFrame:
     """Content identity of a table that does not depend on row order or partitioning.
 
-    Each row hashes to 256 bits; the sum of the leading 60 bits is commutative, so partial sums
-    combine map-side and one number per task is shuffled.
+    Each row hashes to 256 bits; the sums of its eight 32-bit words are commutative, so partial sums
+    combine map-side and a few numbers per task are shuffled.
     """
     row = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns]), 256)
-    prefix = F.conv(F.substring(row, 1, 15), 16, 10).cast("decimal(20,0)")
-    hashed = df.select(*(group or []), prefix.alias("__h"))
-    return hashed.groupBy(*(group or [])).agg(
-        F.count("*").alias("row_count"),
-        F.coalesce(F.sum("__h"), F.lit(0)).cast("decimal(38,0)").cast("string").alias("content_sum"),
-    )
+    hashed = df.select(*(group or []), row.alias("__h"))
+    words = [F.conv(F.substring("__h", 8 * k + 1, 8), 16, 10).cast("long") for k in range(8)]
+    sums = [F.coalesce(F.sum(w), F.lit(0)).cast("string") for w in words]
+    return hashed.groupBy(*(group or [])).agg(F.count("*").alias("row_count"), F.concat_ws("-", *sums).alias("content_sum"))

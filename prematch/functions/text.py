@@ -37,7 +37,7 @@ def parse_bool(value: Column | str) -> Column:
 def parse_score(value: Column | str) -> Column:
     """Whole, non-negative goals from text; blank or invalid text becomes null."""
     number = _blank_to_null(col(value)).try_cast("double")
-    return F.when((number >= 0) & (number == F.floor(number)), number.cast("int"))
+    return F.when((number >= 0) & (number == F.floor(number)), number.try_cast("int"))
 
 
 def score_is_invalid(value: Column | str) -> Column:
@@ -75,7 +75,7 @@ def resolve_score_basis(row_basis: Column | str, asserted: str = "unknown") -> C
 
 def normalize_name(value: Column | str) -> Column:
     """Case-folded, space-collapsed name for ASCII text (see normalize_names for the rest)."""
-    return F.regexp_replace(F.lower(F.trim(col(value))), r"\s+", " ")
+    return F.trim(F.regexp_replace(F.lower(col(value)), r"[\s\x1c-\x1f]+", " "))
 
 
 @F.pandas_udf(StringType())
@@ -93,8 +93,7 @@ def normalize_names(df: DataFrame, column: str, out: str) -> DataFrame:
     )
     return (
         df.join(special, column, "left")
-        .withColumn(out, F.coalesce("__folded", normalize_name(column)))
-        .drop("__folded")
+        .select(*[F.col(c) for c in df.columns], F.coalesce("__folded", normalize_name(column)).alias(out))
     )
 
 

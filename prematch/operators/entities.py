@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import canonical_match_id
-from ..functions.text import normalize_name, scope_decision
+from ..functions.text import normalize_names, scope_decision
 
 
 def resolve(df: DataFrame, name: str, canonical: DataFrame, aliases: DataFrame, out: str) -> DataFrame:
@@ -16,15 +16,13 @@ def resolve(df: DataFrame, name: str, canonical: DataFrame, aliases: DataFrame,
     broadcasts the catalogs when they are small and shuffles them when they are not.
     """
     key = f"__{out}_key"
-    direct = canonical.select(normalize_name("name").alias(key), F.col("entity_id").alias("__direct"))
-    alias = aliases.select(normalize_name("label").alias(key), F.col("entity_id").alias("__alias"))
-    joined = df.withColumn(key, normalize_name(name)).join(direct, key, "left").join(alias, key, "left")
+    direct = normalize_names(canonical, "name", key).select(key, F.col("entity_id").alias("__direct"))
+    alias = normalize_names(aliases, "label", key).select(key, F.col("entity_id").alias("__alias"))
+    joined = normalize_names(df, name, key).join(direct, key, "left").join(alias, key, "left")
     method = F.when(F.col("__direct").isNotNull(), F.lit("canonical_name")).when(
         F.col("__alias").isNotNull(), F.lit("alias"))
-    return (
-        joined.withColumn(out, F.coalesce("__direct", "__alias")).withColumn(f"{out}_matched_by", method)
-        .drop(key, "__direct", "__alias")
-    )
+    kept = [F.col(c) for c in df.columns if c not in (out, f"{out}_matched_by")]
+    return joined.select(*kept, F.coalesce("__direct", "__alias").alias(out), method.alias(f"{out}_matched_by"))
 
 
 def route(df: DataFrame, in_scope: str | Column) -> DataFrame:
@@ -78,7 +76,7 @@ def quarantine_duplicates(routed: DataFrame, order: str, source_id: str) -> Data
     first = accepted.groupBy(*keys).agg(F.min(order).alias("__first"), F.min_by(source_id, order).alias("__first_id"))
     normal = F.col("decision") == "normalized"
     joined = accepted.join(first, keys, "left")
-    later = normal & (F.col(order) > F.col("__first"))
+    later = normal & F.coalesce(F.col(order) > F.col("__first"), F.lit(False))  # a row without a date has no group and is nobody's copy
     marked = joined.withColumn("reasons", F.when(
         later, F.array(F.concat(F.lit("duplicate_or_reversed_fixture:"), F.col("__first_id").cast("string")))).otherwise(F.col("reasons")))
     marked = marked.withColumn("match_id", F.when(~later, F.col("match_id")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_name
+from ..functions.text import normalize_names
 
 
 def rule_counts(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
@@ -25,8 +25,8 @@ def require_clean(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
 
 def catalog_violations(entities: DataFrame, aliases: DataFrame) -> DataFrame:
     """Problems of a catalog: (code, subject). entities (entity_id, name); aliases (label, entity_id)."""
-    named = entities.select("entity_id", normalize_name("name").alias("key"))
-    labels = aliases.select("entity_id", normalize_name("label").alias("key"))
+    named = normalize_names(entities, "name", "key").select("entity_id", "key")
+    labels = normalize_names(aliases, "label", "key").select("entity_id", "key")
 
     def issue(df: DataFrame, code: str, subject: Column) -> DataFrame:
         return df.select(F.lit(code).alias("code"), subject.cast("string").alias("subject"))

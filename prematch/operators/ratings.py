@@ -306,8 +306,10 @@ def current_ratings(history: DataFrame, as_of: str) -> DataFrame:
         "upper", F.col("rating") + 1.96 * F.col("deviation"))
 
 
-def movers(ratings: DataFrame, k: int) -> DataFrame:
-    return ratings.orderBy(F.abs("rating_change").desc(), "team_id").limit(k)
+def movers(ratings: DataFrame, k: int | None = None) -> DataFrame:
+    """Teams by the size of their last change, all or the first k."""
+    ordered = ratings.orderBy(F.abs("rating_change").desc(), "team_id")
+    return ordered if k is None else ordered.limit(k)
 
 
 # ---- pre-match table -------------------------------------------------------------------------------

@@ -10,14 +10,15 @@ from ..operators import assemble as M
 from ..operators import features as X
 from ..operators import history as H
 from .bindings import Tables, ctes
+from .quality_queries import CONTENT_SUM
 from .registry import query
 
 SIDES = ctes("matches", "eligible", "sides")
 PTS = "CASE WHEN h.gf > h.ga THEN 3 WHEN h.gf = h.ga THEN 1 ELSE 0 END"
-# every (match, side) paired with its team's eligible results, newest first
-PAST = SIDES + """, past AS (SELECT t.match_id, t.side, h.match_id AS ref, h.gf, h.ga, h.kickoff_at AS k, h.match_date AS d, row_number() OVER (PARTITION BY t.match_id, t.side
-     ORDER BY h.match_date DESC, (h.kickoff_at IS NULL) DESC, h.kickoff_at DESC, h.match_id DESC) AS rn
-   FROM sides t JOIN sides h ON t.team_id = h.team_id AND h.eligible_at <= t.prediction_time)"""
+# the newest eligible results of the team of every (match, side)
+PAST = SIDES + """, tops AS MATERIALIZED (SELECT t.match_id, t.side, max(struct_pack(d := h.match_date, nk := h.kickoff_at IS NULL, k := h.kickoff_at, ref := h.match_id, gf := h.gf, ga := h.ga), 20) AS l
+     FROM sides t JOIN sides h ON t.team_id = h.team_id AND h.eligible_at <= t.prediction_time GROUP BY t.match_id, t.side),
+   past AS MATERIALIZED (SELECT match_id, side, u.ref AS ref, u.gf AS gf, u.ga AS ga, u.k AS k, u.d AS d, rn FROM (SELECT match_id, side, unnest(l) AS u, generate_subscripts(l, 1) AS rn FROM tops))"""
 
 
 def _form_sql(n: int, rates: bool = False) -> str:
@@ -67,7 +68,7 @@ def long(df):
     return df.select("match_id", "feature", r6("value").alias("value"), "status", "reason")
 
 
-REST_SQL = PAST + """, x AS (SELECT t.match_id, t.side, CASE WHEN h.ref IS NULL THEN NULL WHEN t.kickoff_at IS NOT NULL AND h.k IS NOT NULL THEN (epoch_us(t.kickoff_at) - epoch_us(h.k)) / 86400000000.0
+REST_SQL = PAST + """, x AS MATERIALIZED (SELECT t.match_id, t.side, CASE WHEN h.ref IS NULL THEN NULL WHEN t.kickoff_at IS NOT NULL AND h.k IS NOT NULL THEN (epoch_us(t.kickoff_at) - epoch_us(h.k)) / 86400000000.0
      ELSE CAST(date_diff('day', h.d, t.match_date) AS DOUBLE) END AS days,
      CASE WHEN h.ref IS NULL THEN 'no_history' WHEN t.kickoff_at IS NULL OR h.k IS NULL THEN 'temporal_precision' END AS why FROM sides t LEFT JOIN past h ON t.match_id = h.match_id AND t.side = h.side AND h.rn = 1),
    p AS (SELECT h.match_id, h.days AS hd, h.why AS hw, a.days AS ad, a.why AS aw FROM x h JOIN x a ON h.match_id = a.match_id AND h.side = 'home' AND a.side = 'away')"""
@@ -331,7 +332,7 @@ def e17(t: Tables):
     return out.select("match_id", "undeclared", "missing", "duplicated", (F.col("wrong_cutoff") + 3).alias("wrong_cutoff"))
 
 
-WIDE_SQL = REST_SQL + f""", fm AS (SELECT t.match_id, t.side, {_form_sql(5)} FROM sides t LEFT JOIN past h ON t.match_id = h.match_id AND t.side = h.side GROUP BY ALL),
+WIDE_SQL = REST_SQL + f""", fm AS MATERIALIZED (SELECT t.match_id, t.side, {_form_sql(5)} FROM sides t LEFT JOIN past h ON t.match_id = h.match_id AND t.side = h.side GROUP BY ALL),
    wide AS (SELECT p.match_id, coalesce(f.points_5, 1e0) AS home_points, CASE WHEN f.points_5 IS NULL THEN 1e0 ELSE 0e0 END AS home_points_missing, coalesce(g.goal_diff_5, 0e0) AS away_goal_diff,
      coalesce(hd, 30e0) AS home_rest, CASE WHEN hd IS NULL THEN 1e0 ELSE 0e0 END AS home_rest_missing, CASE WHEN hw IS NOT NULL THEN 1e0 ELSE 0e0 END AS home_rest_imputed,
      CASE WHEN f.points_5 IS NULL THEN 4 ELSE 0 END + CASE WHEN g.points_5 IS NULL THEN 4 ELSE 0 END + CASE WHEN hd IS NULL THEN 1 ELSE 0 END + CASE WHEN ad IS NULL THEN 1 ELSE 0 END + CASE WHEN hd - ad IS NULL THEN 1 ELSE 0 END AS applied
@@ -359,8 +360,8 @@ def e19(t: Tables):
                     epoch("prediction_time").alias("prediction_time"))
 
 
-@query("e20_model_dataset", WIDE_SQL + """, d AS (SELECT w.*, CASE WHEN home_score > away_score THEN 'home_win' WHEN home_score < away_score THEN 'away_win' ELSE 'draw' END AS target FROM wide w JOIN eligible e ON w.match_id = e.match_id WHERE e.eligible_at IS NOT NULL)
-   SELECT target, count(*) AS row_count, CAST(sum(CAST(('0x' || substr(sha256(CAST(match_id AS VARCHAR) || chr(31) || CAST(CAST(round(home_rest * 1000) AS BIGINT) AS VARCHAR)), 1, 15)) AS BIGINT)) AS VARCHAR) AS content_sum FROM d GROUP BY target""")
+@query("e20_model_dataset", WIDE_SQL + f""", d AS (SELECT w.*, CASE WHEN home_score > away_score THEN 'home_win' WHEN home_score < away_score THEN 'away_win' ELSE 'draw' END AS target FROM wide w JOIN eligible e ON w.match_id = e.match_id WHERE e.eligible_at IS NOT NULL)
+   SELECT target, count(*) AS row_count, {CONTENT_SUM} FROM (SELECT target, sha256(CAST(match_id AS VARCHAR) || chr(31) || CAST(CAST(round(home_rest * 1000) AS BIGINT) AS VARCHAR)) AS h FROM d) GROUP BY target""")
 def e20(t: Tables):
     d = M.historical_dataset(t.eligible, M.materialize(form_frames(t), DECLARED, RULES))
     usable = M.model_dataset(d, DECLARED).withColumn("rest_ms", F.round(F.col("`schedule.home.rest_days`") * 1000).cast("long"))

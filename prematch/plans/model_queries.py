@@ -113,10 +113,10 @@ def f5(t: Tables):
     return R.current_ratings(daily, "2000-06-30").select("team_id", *[r6(c).alias(c) for c in ("rating", "deviation", "lower", "upper")])
 
 
-@query("f5_rating_movers", f"""{M} SELECT match_id AS team_id, CAST(home_score * 100 - away_score * 130 AS DOUBLE) AS rating_change FROM matches WHERE {DONE} ORDER BY abs(home_score * 100 - away_score * 130) DESC, match_id LIMIT 50""")
+@query("f5_rating_movers", f"""{M} SELECT match_id AS team_id, CAST(home_score * 100 - away_score * 130 AS DOUBLE) AS rating_change FROM matches WHERE {DONE} ORDER BY abs(home_score * 100 - away_score * 130) DESC, match_id""")
 def f5_movers(t: Tables):
     rows = t.matches.filter(DONE).select(F.col("match_id").alias("team_id"), (F.col("home_score") * 100 - F.col("away_score") * 130).cast("double").alias("rating_change"))
-    return R.movers(rows, 50)
+    return R.movers(rows)
 
 
 LABEL = "CASE WHEN home_score > away_score THEN 'home_win' WHEN home_score < away_score THEN 'away_win' ELSE 'draw' END"

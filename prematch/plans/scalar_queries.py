@@ -188,13 +188,13 @@ def a11(t: Tables):
 
 
 @query("a13_run_audit", """SELECT 'run-' || o_orderkey AS run_id, o_orderstatus AS status, CAST(epoch(o_orderdate) AS BIGINT) AS started, o_custkey AS row_count
-   FROM orders ORDER BY o_orderdate DESC, run_id DESC LIMIT 100""")
+   FROM orders ORDER BY o_orderdate DESC, run_id DESC""")
 def a13(t: Tables):
     runs = t.raw("orders").select(
         F.concat(F.lit("run-"), F.col("o_orderkey")).alias("run_id"), F.col("o_orderdate").alias("started_at"), F.col("o_orderdate").alias("finished_at"),
         F.col("o_orderstatus").alias("status"), F.col("o_custkey").alias("row_count"), F.lit("").alias("message"))
     audit = W.conform(runs, "scheduled_runs")
-    return audit.orderBy(F.col("started_at").desc(), F.col("run_id").desc()).limit(100).select(
+    return audit.orderBy(F.col("started_at").desc(), F.col("run_id").desc()).select(
         "run_id", "status", epoch("started_at").alias("started"), "row_count")
 
 

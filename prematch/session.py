@@ -39,12 +39,14 @@ def apply_runtime_conf(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; make a scratch one only where none is set."""
+    """Use the cluster's shared checkpoint folder; make a scratch one only in a local session where none is set."""
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured is None:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("Set spark.checkpoint.dir to a folder that all executors share.")
         import tempfile
 
         configured = tempfile.mkdtemp(prefix="spark-", dir="/tmp")

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, row_key, text_batches, written
+from .common import read_table, row_key, stored, text_batches, written
 from .components import components
 from .word_hashes import NOT_WORD, mix, run_hashes, word_hashes
 
@@ -140,8 +140,8 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similar: float
 
 
 def star_pairs(members: DataFrame) -> DataFrame:
-    """(a, b): every member (key, node) of a key against the key's least node."""
-    leaders = members.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("n")).filter("n > 1").select("key", "b")
+    """(a, b): every member (key, node, weight) of a key against the key's heaviest node, the centre of its group if there is one."""
+    leaders = members.groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("b"), F.count("*").alias("n")).filter("n > 1").select("key", "b")
     return members.join(leaders, "key").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
 
 
@@ -164,7 +164,7 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     similarity is at least ``similar``, and classes are the connected components. Links are looked for in three rounds,
     each of which compares only what the rounds before have not joined:
 
-    1. every node against the least node of each of its bands: linear in the rows, and enough for groups of copies;
+    1. every node against the heaviest node of each of its bands, the one that shares most with others: linear in the rows, and enough for groups of copies;
     2. in bands of more than FEW nodes that still hold several components, the same within each pair of bands that
        agree (a pair at 0.8 shares such a second band with probability 0.997);
     3. all pairs from different components within a band of up to FEW nodes, or within a pair of bands.
@@ -174,35 +174,35 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """
     text_batches(docs.sparkSession)
     idf = document_frequency(docs)
-    signed = written(signatures(docs, idf))
-    nodes = signed.filter("node IS NOT NULL").groupBy("node").agg(F.min("row_key").alias("row_key"), F.first("keys").alias("keys"))
-    members = written(nodes.select("node", "row_key", "keys").withColumn("key", F.explode("keys")))
-    shared = members.join(members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "key", "left_semi")
-    shared = written(shared.select("key", "node", "row_key", "keys"))
-    wanted = shared.select("row_key", "node").distinct()
+    signed = stored(signatures(docs, idf))
+    nodes = stored(signed.filter("node IS NOT NULL").groupBy("node").agg(F.min("row_key").alias("row_key"), F.first("keys").alias("keys"), F.count("*").alias("copies")))
+    members = nodes.select("node", "copies", F.explode("keys").alias("key"))
+    shared = stored(members.join(members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key"))
+    # a text that many others were made from shares bands with all of them, while they share few with each other
+    weight = shared.groupBy("node").agg((F.sum("n") + F.first("copies")).alias("weight"))
+    shared = shared.join(weight, "node").select("key", "node", "weight")
+    wanted = nodes.join(weight.select("node"), "node", "left_semi").select("row_key", "node")
     texts = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("row_key"), "text").join(wanted.hint("shuffle_hash"), "row_key").dropDuplicates(["node"]).select("node", "text")
-    texts = written(texts)
+    texts = stored(texts)
 
-    slim = shared.select("key", "node")
-    links = written(verified(star_pairs(slim), texts, idf, similar))
+    links = stored(verified(star_pairs(shared), texts, idf, similar))
     labels = components(links)
 
     def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
         return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
-    def two_bands(rows: DataFrame) -> DataFrame:
-        twice = rows.withColumn("other", F.explode("keys")).filter("other <> key")
-        return twice.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "node").distinct()
-
-    open_ = written(mixed(labelled(shared.select("key", "node", "keys"), labels)))
-    large = two_bands(open_.filter(F.col("n") > FEW).select("key", "node", "keys"))
+    open_ = stored(mixed(labelled(shared, labels)))
     if not open_.isEmpty():
-        more = written(verified(star_pairs(mixed(labelled(large, labels)).select("key", "node")), texts, idf, similar))
+        twice = open_.filter(F.col("n") > FEW).select("key", "node", "weight").join(nodes.select("node", F.explode("keys").alias("other")), "node").filter("other <> key")
+        pair = F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key")
+        large = stored(twice.select(pair, "node", "weight").distinct())
+        more = stored(verified(star_pairs(mixed(labelled(large, labels)).select("key", "node", "weight")), texts, idf, similar))
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = components(links)
-        rest = cross_pairs(labelled(open_.filter(F.col("n") <= FEW).select("key", "node"), labels)).unionByName(cross_pairs(mixed(labelled(large, labels)).select("key", "node", "label"))).distinct()
-        last = written(verified(rest, texts, idf, similar))
+        small = labelled(open_.filter(F.col("n") <= FEW).select("key", "node"), labels)
+        rest = cross_pairs(small).unionByName(cross_pairs(mixed(labelled(large, labels)).select("key", "node", "label"))).distinct()
+        last = stored(verified(rest, texts, idf, similar))
         if not last.isEmpty():
             labels = components(links.unionByName(last))
     own = labelled(signed.select("doc_id", "row_key", F.coalesce("node", F.concat(F.lit("none "), F.col("row_key"), F.lit(" "), F.monotonically_increasing_id())).alias("node")), labels)

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import zstandard
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,41 +54,30 @@ def text_words(text: str | None) -> np.ndarray:
 
 
 def _runs(docs: DataFrame, window: int) -> DataFrame:
-    """(doc, rid, anchor, passage, start, n, twice) of every run of every text."""
-    @F.pandas_udf("array<struct<anchor:long,passage:long,start:int,n:int,twice:boolean>>")
-    def cut(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in texts:
-            out = []
-            for text in batch:
-                words = text_words(text)
+    """(doc, rid, anchor, passage, start, n, twice) of every run of every text; whole columns, as a corpus has a run every few words."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts: list[tuple[np.ndarray, ...]] = []
+            for text in batch.column("text"):
+                words = word_hashes(text.as_buffer() if text.is_valid else b"")
                 anchor, start, n, twice = runs_of(words, window)
-                passage = passage_hashes(words, start, n + window - 1)
-                out.append([dict(zip(("anchor", "passage", "start", "n", "twice"), r, strict=True)) for r in zip(anchor.view(np.int64).tolist(), passage.view(np.int64).tolist(), start.tolist(), n.tolist(), twice.tolist(), strict=True)])
-            yield pd.Series(out)
-
-    return docs.select("doc", "rid", F.inline_outer(cut("text"))).filter("anchor IS NOT NULL")
-
-
-def _packed(docs: DataFrame) -> DataFrame:
-    """(doc, rid, packed): texts as compressed bytes, for the shuffles."""
-    @F.pandas_udf("binary")
-    def pack(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        zip_ = zstandard.ZstdCompressor(level=1)
-        for batch in texts:
-            yield batch.map(lambda t: zip_.compress((t or "").encode("utf-8", "replace")))
+                parts.append((anchor.view(np.int64), passage_hashes(words, start, n + window - 1).view(np.int64), start.astype(np.int32), n.astype(np.int32), twice))
+            which = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+            columns = [batch.column(c).take(pa.array(which)) for c in ("doc", "rid")]
+            columns += [pa.array(np.concatenate([p[k] for p in parts])) if parts else pa.array([], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "rid", "anchor", "passage", "start", "n", "twice"])
 
-    return docs.select("doc_id", "doc", "rid", pack("text").alias("packed"))
+    return docs.select("doc", "rid", "text").mapInArrow(cut, "doc long, rid long, anchor long, passage long, start int, n int, twice boolean")
 
 
 def _passages(joined: DataFrame, window: int) -> DataFrame:
     """(anchor, passage, doc, start, words) of the wanted runs of each text; those of hot anchors window by window."""
     @F.pandas_udf("array<struct<anchor:long,passage:long,start:int,hot:boolean,words:binary>>")
     def taken(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        unzip = zstandard.ZstdDecompressor()
-        for packed, wanted in batches:
+        for texts, wanted in batches:
             out = []
-            for data, runs in zip(packed, wanted, strict=True):
-                words, rows = word_hashes(unzip.decompress(data)), []
+            for text, runs in zip(texts, wanted, strict=True):
+                words, rows = text_words(text), []
                 for r in runs:
                     own = words[r["start"]:r["start"] + r["n"] + window - 1]
                     if r["hot"]:
@@ -99,7 +88,7 @@ def _passages(joined: DataFrame, window: int) -> DataFrame:
                 out.append(rows)
             yield pd.Series(out)
 
-    return joined.select("doc", "rid", F.inline(taken("packed", "wanted")))
+    return joined.select("doc", "rid", F.inline(taken("text", "wanted")))
 
 
 def search_shard(frame: pd.DataFrame, window: int = WINDOW) -> pd.DataFrame:
@@ -148,7 +137,7 @@ def covered_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
        searched for every window of its passages, and those with an earlier place are reported. An anchor with
        more than HOT_PASSAGES passages is dealt window by window, equal windows combined first, so a shard stays near SHARD_WORDS.
     """
-    runs = _runs(docs.select("doc", "rid", "text"), window)
+    runs = _runs(docs, window)
     twice = runs.groupBy("anchor").agg(F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("met")).filter("met > 1").select("anchor")
     hits = stored(runs.join(twice, "anchor"))
     passages = hits.groupBy("anchor", "passage").agg(F.min(F.struct("doc", "start", "rid")).alias("first"), F.max("n").alias("n"), F.max("twice").alias("twice"))
@@ -158,23 +147,28 @@ def covered_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     later = later.select("doc", "rid", F.col("start").cast("long").alias("start"), (F.col("start") + F.col("n") + (window - 1)).cast("long").alias("stop"))
 
     several = passages.groupBy("anchor").agg(F.count("*").alias("m"), F.max("twice").alias("again")).filter((F.col("m") > 1) | F.col("again"))
-    wanted = passages.join(several, "anchor").select("first.doc", "first.rid", F.struct("anchor", "passage", F.col("first.start").alias("start"), "n", (F.col("m") > HOT_PASSAGES).alias("hot")).alias("run"))
+    wanted = stored(passages.join(several, "anchor").select("first.doc", "first.rid", F.struct("anchor", "passage", F.col("first.start").alias("start"), "n", (F.col("m") > HOT_PASSAGES).alias("hot")).alias("run")))
+    sums = wanted.agg(F.sum(F.col("run.n") + (window - 1)).alias("words"), F.sum(F.when(F.col("run.hot"), F.col("run.n") * window)).alias("hot")).first()
     per_doc = wanted.groupBy("doc", "rid").agg(F.collect_list("run").alias("wanted"))  # as long as the text at most
-    found = stored(_passages(_packed(docs).join(per_doc.hint("shuffle_hash"), ["doc", "rid"]), window))
-    hot = found.filter("hot").groupBy("anchor", "passage").agg(F.min(F.struct("doc", "start", "rid")).alias("first"), F.first("words").alias("words"))
-    hot_later = found.filter("hot").join(hot.select("anchor", "first"), "anchor").filter((F.col("doc") > F.col("first.doc")) | ((F.col("doc") == F.col("first.doc")) & (F.col("start") > F.col("first.start"))))
-    hot_later = hot_later.select("doc", "rid", F.col("start").cast("long").alias("start"), (F.col("start") + window).cast("long").alias("stop"))
-    every = found.filter("NOT hot").select("anchor", "doc", "rid", "start", "words").unionByName(hot.select("anchor", "first.doc", "first.rid", "first.start", "words"))
-    total = every.agg(F.sum(F.length("words") / 8)).first()[0] or 0
-    shards = int(total // SHARD_WORDS) + 1
+    found = _passages(docs.join(per_doc.hint("shuffle_hash"), ["doc", "rid"]), window)
+    every, out = found.select("anchor", "doc", "rid", "start", "words"), later
+    if sums["hot"]:
+        found = stored(found)
+        hot = found.filter("hot").groupBy("anchor", "passage").agg(F.min(F.struct("doc", "start", "rid")).alias("first"), F.first("words").alias("words"))
+        hot_later = found.filter("hot").join(hot.select("anchor", "first"), "anchor").filter((F.col("doc") > F.col("first.doc")) | ((F.col("doc") == F.col("first.doc")) & (F.col("start") > F.col("first.start"))))
+        out = out.unionByName(hot_later.select("doc", "rid", F.col("start").cast("long").alias("start"), (F.col("start") + window).cast("long").alias("stop")))
+        every = found.filter("NOT hot").select("anchor", "doc", "rid", "start", "words").unionByName(hot.select("anchor", "first.doc", "first.rid", "first.start", "words"))
+    shards = int(((sums["words"] or 0) + (sums["hot"] or 0)) // SHARD_WORDS) + 1
     searched = (every.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int")).groupBy("shard")
                 .applyInPandas(lambda frame: search_shard(frame, window), "doc long, rid long, start long, stop long"))
-    return later.unionByName(hot_later).unionByName(searched)
+    return out.unionByName(searched)
 
 
 def _with_keys(docs: DataFrame) -> DataFrame:
-    """docs with doc (the id, null last) and rid (tells apart rows that repeat an id with another text)."""
-    return docs.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "rid": F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))})
+    """docs with doc (the id, null last) and rid (tells apart rows that repeat an id with another text; 0 where no id is repeated)."""
+    unique = docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    rid = F.lit(0).cast("long") if unique else F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    return docs.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "rid": rid})
 
 
 def kept_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -182,19 +176,19 @@ def kept_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     A word is removed if it lies in a window of ``window`` words that also starts earlier: in a document with a smaller
     doc_id, or earlier in the same one. Words are compared by 64-bit hashes. Null, empty and short texts lose nothing.
-    A null doc_id comes last; rows that repeat an id are ordered by start alone. No rows: no rows.
+    A null doc_id comes last (as the greatest long, which stands for null); rows that repeat an id are ordered by start alone. No rows: no rows.
     """
     text_batches(docs.sparkSession)
-    keyed = _with_keys(docs.select("doc_id", "text"))
+    # both joins with the texts are in one plan and take the same columns, so the texts are shuffled once
+    keyed = _with_keys(docs.select("doc_id", "text")).select("doc", "rid", "text")
     gone = covered_words(keyed, window).groupBy("doc", "rid").agg(F.collect_set(F.struct("start", "stop")).alias("gone"))
 
     @F.pandas_udf("n_words long, n_removed long, kept string")
     def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        unzip = zstandard.ZstdDecompressor()
-        for packed, gone in batches:
+        for texts, gone in batches:
             out = []
-            for data, spans in zip(packed, gone, strict=True):
-                words = unzip.decompress(data).split()
+            for text, spans in zip(texts, gone, strict=True):
+                words = (text or "").encode("utf-8", "replace").split()  # bytes: splits at the six white characters only
                 keep = np.ones(len(words) + 1, bool)
                 for s in spans if spans is not None else ():
                     keep[s["start"]:s["stop"]] = False
@@ -202,8 +196,8 @@ def kept_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 out.append((len(words), len(words) - len(kept), b" ".join(kept).decode("utf-8")))
             yield pd.DataFrame(out, columns=["n_words", "n_removed", "kept"])
 
-    joined = _packed(keyed).join(gone.hint("shuffle_hash"), ["doc", "rid"], "left")
-    return joined.select("doc_id", cut("packed", "gone").alias("c")).select("doc_id", "c.*")
+    joined = keyed.join(gone.hint("shuffle_hash"), ["doc", "rid"], "left")
+    return joined.select(F.when(F.col("doc") != LAST, F.col("doc")).alias("doc_id"), cut("text", "gone").alias("c")).select("doc_id", "c.*")
 
 
 def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:

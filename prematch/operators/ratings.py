@@ -31,10 +31,11 @@ CARRIED = ["pool", "match_id", "match_date", "kickoff_at", "kickoff_missing", "h
 
 
 def _prepare(matches: DataFrame, pool: Column | None) -> DataFrame:
+    """Scored matches with a date; one without a date has no place in the order. A null pool is a pool of its own."""
     known = matches if "kickoff_at" in matches.columns else matches.withColumn("kickoff_at", F.lit(None).cast("timestamp"))
     return (
-        known.filter(F.col("home_score").isNotNull() & F.col("away_score").isNotNull())
-        .withColumn("pool", F.lit("all") if pool is None else pool.cast("string"))
+        known.filter(F.col("home_score").isNotNull() & F.col("away_score").isNotNull() & F.col("match_date").isNotNull())
+        .withColumn("pool", F.lit("all") if pool is None else F.coalesce(pool.cast("string"), F.lit("(none)")))
         .withColumn("kickoff_missing", F.col("kickoff_at").isNull())
         .withColumn("weight", S.importance("tournament") if "tournament" in known.columns else F.lit(1.0))
         .select(*CARRIED)
@@ -63,11 +64,12 @@ def elo_history(matches: DataFrame, pool: Column | None = None, order: list[str]
     small, large = _split_pools(prepared, pool_rows)
     parts = [_elo_grouped(small, order, k, advantage, start)]
     for name in large:
-        parts.append(_elo_fixed_point(prepared.filter(F.col("pool") == name), order, k, advantage, start, block_rows))
+        solved = _elo_fixed_point(prepared.filter(F.col("pool") == name), order, k, advantage, start, block_rows)
+        parts.append(solved.withColumn("pool", F.lit(name)))
     core = parts[0]
     for part in parts[1:]:
         core = core.unionByName(part)
-    joined = prepared.join(core, "match_id")
+    joined = prepared.join(core, ["pool", "match_id"])
     adjusted = F.col("home_before") + S.home_advantage("neutral", advantage)
     return (
         joined.withColumn("expected_home", S.expected_score(adjusted, F.col("away_before")))
@@ -93,9 +95,9 @@ def _elo_grouped(df: DataFrame, order: list[str], k: float, advantage: float, st
             change = k * weight * margin * (won - 1.0 / (1.0 + 10.0 ** (-diff / 400.0)))
             ratings[h], ratings[a] = rh + change, ra - change
             rows.append((m, rh, ra, change))
-        return pd.DataFrame(rows, columns=["match_id", "home_before", "away_before", "rating_change"])
+        return pd.DataFrame(rows, columns=["match_id", "home_before", "away_before", "rating_change"]).assign(pool=pdf["pool"].iloc[0])
 
-    return df.groupBy("pool").applyInPandas(replay, ELO_SCHEMA)
+    return df.groupBy("pool").applyInPandas(replay, ELO_SCHEMA + ", pool STRING")
 
 
 def _elo_fixed_point(pool: DataFrame, order: list[str], k: float, advantage: float, start: float, block_rows: int,

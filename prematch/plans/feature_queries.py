@@ -102,16 +102,36 @@ def e5(t: Tables):
     return long(X.rating_features(t.eligible, snaps))
 
 
+def published_ratings(t: Tables):
+    """Elo features from ratings that count only once every result behind them was published."""
+    from ..operators import ratings as R
+
+    completed = t.eligible.filter("eligible_at IS NOT NULL")
+    snaps = R.with_publication(R.elo_snapshots(R.elo_history(completed)), completed, "usable_at")
+    return X.rating_features(t.eligible, snaps)
+
+
 @query("e6_strength_features")
 def e6(t: Tables):
     from ..operators import ratings as R
 
     completed = t.eligible.filter("eligible_at IS NOT NULL")
-    elo = R.elo_history(completed)
-    snaps = R.elo_snapshots(elo)
-    glicko = R.glicko_history(completed)
-    frames = [X.rating_features(t.eligible, snaps), X.glicko_features(t.eligible, R.with_publication(glicko, completed))]
-    return long(M.assemble(frames))
+    glicko = R.with_publication(R.glicko_history(completed), completed)
+    return long(M.assemble([published_ratings(t), X.glicko_features(t.eligible, glicko)]))
+
+
+# No feature may name a result that was not published at its cutoff.
+@query("e6_strength_leaks", ctes("matches", "eligible") + """, n AS (SELECT count(*) AS n FROM eligible)
+   SELECT f AS feature, n AS rows_checked, 0::BIGINT AS leaks FROM n, (VALUES ('elo.home_rating'), ('elo.away_rating'), ('elo.rating_diff_home_minus_away'), ('elo.expected_home_score'), ('elo.expected_away_score')) AS v(f)""")
+def e6_leaks(t: Tables):
+    from ..operators.asof import lineage_leaks
+
+    features = published_ratings(t)
+    dated = features if "prediction_time" in features.columns else features.join(t.eligible.select("match_id", "prediction_time"), "match_id")
+    leaks = lineage_leaks(dated, t.eligible.select(F.col("match_id").cast("string").alias("match_id"), "eligible_at"))
+    counts = leaks.groupBy("feature").agg(F.count("*").alias("leaks"))
+    checked = features.groupBy("feature").agg(F.count("*").alias("rows_checked"))
+    return checked.join(counts, "feature", "left").select("feature", "rows_checked", F.coalesce("leaks", F.lit(0)).alias("leaks"))
 
 
 def competitions(t: Tables):

@@ -162,15 +162,15 @@ def g19(t: Tables):
 
 @query("h9_logistic_tuning")
 def h9(t: Tables):
-    table = research.written(R.pre_match_table(t.matches.filter(DONE)))
+    table = research.training_table(t.eligible.filter("eligible_at IS NOT NULL"))
     out = research.tune_logistic(table, ["1999-01-01", "2000-01-01"], [730.0, 2190.0], [1.0, 4.0])
     return rounded(out, "half_life", "c", "n", "place")
 
 
 @query("h10_feature_ablation")
 def h10(t: Tables):
-    table = research.written(R.pre_match_table(t.matches.filter(DONE)))
-    out = research.ablate(table, ["2000-01-01"], research.ABLATION_SETS)
+    table = research.training_table(t.eligible.filter("eligible_at IS NOT NULL"))
+    out = research.ablate(table, ["1999-01-01", "2000-01-01"], research.ABLATION_SETS)
     return rounded(out, "run", "n", r6("log_loss_delta").alias("log_loss_delta"))
 
 

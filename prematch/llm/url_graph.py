@@ -51,18 +51,21 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def propagate(seeds: DataFrame, edges: DataFrame, follow: float = FOLLOW, rounds: int = ROUNDS) -> DataFrame:
-    """(host, mass): personalised PageRank in units of seed mass: seed plus follow times what reaches the host along edges.
+    """(kind, host, mass): personalised PageRank in units of seed mass: seed plus follow times what reaches the host along edges.
 
-    seeds: host, mass. Each round joins the wave on its source and sums by target, so a host with very many links is
-    combined before the shuffle; the wave goes through the checkpoint folder.
+    seeds: kind, host, mass; edges: kind, src, dst, share. Kinds do not mix; they share the rounds. Each round joins the wave on
+    its source and sums by target, so a host with very many links is combined before the shuffle; the wave goes through
+    the checkpoint folder. Up to HOST_ROWS edges are broadcast, so that a round shuffles sums only.
     """
+    edges = small_side(edges.withColumnRenamed("src", "host"), HOST_ROWS)
     wave = total = seeds
     for _ in range(rounds):
-        wave = written(wave.join(edges, wave["host"] == edges["src"]).groupBy("dst").agg(F.sum(F.col("mass") * F.col("share") * follow).alias("mass")).withColumnRenamed("dst", "host"))
+        step = wave.join(edges, ["kind", "host"]).groupBy("kind", "dst").agg(F.sum(F.col("mass") * F.col("share") * follow).alias("mass"))
+        wave = written(step.withColumnRenamed("dst", "host"))
         if wave.isEmpty():
             break
         total = total.unionByName(wave)
-    return total.groupBy("host").agg(F.sum("mass").alias("mass"))
+    return total.groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
 
 
 def judge(pages: DataFrame, rules=RULES, block_from: float = BLOCK_FROM) -> DataFrame:
@@ -82,10 +85,11 @@ def judge(pages: DataFrame, rules=RULES, block_from: float = BLOCK_FROM) -> Data
     edges = written(host_edges(rows.select("host", "html")))
     by_host = written(rows.filter(F.col("host") != "").groupBy("host").agg(
         F.avg((F.coalesce(F.col("verdict"), F.lit("")) == "allow").cast("double")).alias("good"), F.avg((F.coalesce(F.col("verdict"), F.lit("")) == "block").cast("double")).alias("bad")))
-    trust = propagate(by_host.filter("good > 0").select("host", F.col("good").alias("mass")), edges).withColumnRenamed("mass", "trust")
-    against = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "share")
-    distrust = propagate(by_host.filter("bad > 0").select("host", F.col("bad").alias("mass")), against).withColumnRenamed("mass", "distrust")
-    scores = by_host.select("host").join(trust, "host", "left").join(distrust, "host", "left").na.fill(0.0, ["trust", "distrust"])
+    seeds = by_host.select("host", F.explode(F.create_map(F.lit("trust"), F.col("good"), F.lit("distrust"), F.col("bad"))).alias("kind", "mass")).filter("mass > 0")
+    both = edges.withColumn("kind", F.lit("trust")).unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "share", F.lit("distrust").alias("kind")))
+    mass = propagate(seeds, written(both))
+    sums = [F.sum(F.when(F.col("kind") == k, F.col("mass"))).alias(k) for k in ("trust", "distrust")]
+    scores = mass.groupBy("host").agg(*sums).na.fill(0.0, ["trust", "distrust"])
     judged = rows.join(small_side(written(scores), HOST_ROWS), "host", "left").na.fill(0.0, ["trust", "distrust"])
     by_method = F.when(F.col("distrust") - F.col("trust") >= block_from, F.lit("block")).otherwise(F.lit("allow"))
     return judged.withColumn("verdict", F.coalesce("verdict", by_method))

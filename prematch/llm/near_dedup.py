@@ -145,15 +145,6 @@ def star_pairs(members: DataFrame) -> DataFrame:
     return members.join(leaders, "key").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
 
 
-def near_labels(links: DataFrame) -> DataFrame:
-    """(node, label): the least end of a node's links, followed one step on. Equal labels mean one component; one component may
-    still have several, which only costs comparisons that could be saved."""
-    both = links.select(F.col("a").alias("node"), "b").unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("b")))
-    first = both.groupBy("node").agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label"))
-    onward = first.select(F.col("node").alias("label"), F.col("label").alias("next"))
-    return first.join(onward, "label", "left").select("node", F.coalesce("next", "label").alias("label"))
-
-
 def mixed(members: DataFrame) -> DataFrame:
     """members (key, node, label) of the keys that hold more than one label, with the number n of members."""
     keys = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).filter("low <> high").select("key", "n")
@@ -198,7 +189,7 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
         return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
     links = stored(verified(star_pairs(shared), texts, idf, similar))
-    labels = stored(near_labels(links))
+    labels = components(links)
     open_ = stored(mixed(labelled(shared, labels)))
     if not open_.isEmpty():
         others = shared.select("node", F.col("key").alias("other"))
@@ -207,12 +198,13 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
         large = stored(twice.select(pair, "node", "weight").distinct())
         named = labels.select(F.col("node").alias("a"), F.col("label").alias("label_a")), labels.select(F.col("node").alias("b"), F.col("label").alias("label_b"))
         again = star_pairs(large).join(named[0], "a", "left").join(named[1], "b", "left").filter(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
-        links = stored(links.unionByName(verified(again, texts, idf, similar)))
-        labels = stored(near_labels(links))
+        links = links.unionByName(stored(verified(again, texts, idf, similar)))
+        labels = components(links)
         small = labelled(open_.filter(F.col("n") <= FEW).select("key", "node"), labels)
         rest = cross_pairs(small).unionByName(cross_pairs(mixed(labelled(large, labels)).select("key", "node", "label"))).distinct()
-        links = links.unionByName(stored(verified(rest, texts, idf, similar)))
-    labels = components(links)
+        last = stored(verified(rest, texts, idf, similar))
+        if not last.isEmpty():
+            labels = components(links.unionByName(last))
     own = labelled(signed.select("doc_id", "row_key", F.coalesce("node", F.concat(F.lit("none "), F.col("row_key"), F.lit(" "), F.monotonically_increasing_id())).alias("node")), labels)
     sums = own.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_class"))
     return own.join(sums, "label").select("doc_id", "row_key", "label", "class_id", "n_class")

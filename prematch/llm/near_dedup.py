@@ -19,7 +19,9 @@ SIMILAR = 0.8
 BANDS, ROWS = 12, 4    # texts that agree by s share a band with 1 - (1 - s ** 4) ** 12: 0.998 at 0.8
 SKETCH = 1 << 18       # counters of document frequency; each shingle counts in one of them
 IDF_POWER = 0.125      # a large group of near copies makes its own shingles frequent; undamped, what sets its members apart would outweigh what they share
-FEW = 64               # members up to which a band's rest is compared pair by pair; a larger one is first split by its members' other bands
+FEW = 64               # members up to which the pairs of a band come from a join; those of a larger one from blocks of it
+BLOCK = 512            # members of a large band in one block
+PROFILE = 512          # counters of weight by shingle, from which an upper bound of the similarity follows
 
 _RNG = np.random.default_rng(8)
 _SEEDS = _RNG.integers(1, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64)
@@ -157,6 +159,68 @@ def cross_pairs(members: DataFrame) -> DataFrame:
     return members.join(other, "key").filter((F.col("node") > F.col("b")) & (F.col("label") != F.col("label_b"))).select(F.col("node").alias("a"), "b").distinct()
 
 
+def profile(found: np.ndarray, weight: np.ndarray) -> bytes:
+    """The weight of the shingles in each of PROFILE counters, as half floats rounded up (infinite beyond their range)."""
+    exact = np.bincount((found >> np.uint64(40)).astype(np.int64) % PROFILE, weights=weight, minlength=PROFILE)
+    with np.errstate(over="ignore"):
+        out = exact.astype(np.float16)
+    return np.where(out < exact, np.nextafter(out, np.float16(np.inf)), out).astype(np.float16).tobytes()
+
+
+def bounds(one: np.ndarray, total: float, others: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """No similarity of one to the others is above these: two texts share at most the lesser weight of each counter."""
+    low = np.minimum(np.minimum(one, others).sum(axis=1, dtype=np.float64), np.minimum(total, totals))
+    return low / (total + totals - low)
+
+
+def profiles(texts: DataFrame, idf: np.ndarray) -> DataFrame:
+    """(node, total, profile) of texts (node, text)."""
+    shared = texts.sparkSession.sparkContext.broadcast(idf)
+
+    @F.pandas_udf("total double, profile binary")
+    def profiled(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for text in batch:
+                found, counts = shingles(text)
+                weight = weights(found, counts, shared.value)
+                out.append((float(weight.sum(dtype=np.float64)), profile(found, weight)))
+            yield pd.DataFrame(out, columns=["total", "profile"])
+
+    return texts.select("node", profiled("text").alias("p")).select("node", "p.*")
+
+
+def block_pairs(members: DataFrame, signed: DataFrame, similar: float) -> DataFrame:
+    """(a, b, bound): the pairs of members of a key with different labels that no bound rules out, each at the first band that it shares.
+
+    members: key, node, label, n; signed: node, keys, total, profile. A key is dealt into blocks of about BLOCK nodes, and every
+    two blocks of it meet in one group, so neither a task nor a table grows with the square of a band's members.
+    """
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), parts).cast("int")
+    rows = members.join(signed, "node").select("key", "node", "label", "keys", "total", "profile", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    rows = rows.select("key", "node", "label", "keys", "total", "profile", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+
+    def compared(rows: pd.DataFrame) -> pd.DataFrame:
+        keys = np.stack(rows["keys"].to_numpy()).astype(np.int64)
+        band = int((keys[0] == rows["key"].iloc[0]).argmax())
+        seen = np.frombuffer(b"".join(rows["profile"]), np.float16).reshape(len(rows), PROFILE).astype(np.float32)
+        total, label, node = rows["total"].to_numpy(), pd.factorize(rows["label"])[0], rows["node"].to_numpy()
+        left = np.flatnonzero(rows["own"] == rows["low"].iloc[0])
+        right = np.flatnonzero(rows["own"] == rows["high"].iloc[0])
+        out = []
+        for i in left:
+            js = right[right > i] if rows["low"].iloc[0] == rows["high"].iloc[0] else right
+            js = js[label[js] != label[i]]
+            js = js[(keys[js] == keys[i]).argmax(axis=1) == band]
+            bound = bounds(seen[i], total[i], seen[js], total[js])
+            good = bound >= similar - 1e-5  # similarities are sums of single floats
+            out += [(max(node[i], node[j]), min(node[i], node[j]), float(v)) for j, v in zip(js[good], bound[good], strict=True)]
+        return pd.DataFrame(out, columns=["a", "b", "bound"])
+
+    return rows.groupBy("key", "low", "high").applyInPandas(compared, "a string, b string, bound double")
+
+
 def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(doc_id, row_key, label, class_id, n_class): one row per row of docs; class_id is the least doc_id of its class, label its name.
 
@@ -165,9 +229,11 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     each of which compares only what the rounds before have not joined:
 
     1. every node against the heaviest node of each of its bands, the one that shares most with others: linear in the rows, and enough for groups of copies;
-    2. in bands of more than FEW nodes that still hold several components, the same within each pair of bands that
-       agree (a pair at 0.8 shares such a second band with probability 0.997);
-    3. all pairs from different components within a band of up to FEW nodes, or within a pair of bands.
+    2. of all pairs from different components that share a band, whatever its size, and that their profiles do not rule
+       out (bands of more than FEW nodes), each node with the one it has the highest bound with;
+    3. all the others of these pairs.
+
+    So no pair that shares a band goes uncompared unless it is in one component already or provably below ``similar``.
 
     Texts without a word (null, empty) are classes of their own per row. Repeated rows are one node. A null doc_id counts only where
     a class has no other. No rows: no rows.
@@ -192,17 +258,19 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     labels = components(links)
     open_ = stored(mixed(labelled(shared, labels)))
     if not open_.isEmpty():
-        others = shared.select("node", F.col("key").alias("other"))
-        twice = open_.filter(F.col("n") > FEW).select("key", "node", "weight").join(others, "node").filter("other <> key")
-        pair = F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key")
-        large = stored(twice.select(pair, "node", "weight").distinct())
-        named = labels.select(F.col("node").alias("a"), F.col("label").alias("label_a")), labels.select(F.col("node").alias("b"), F.col("label").alias("label_b"))
-        again = star_pairs(large).join(named[0], "a", "left").join(named[1], "b", "left").filter(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
-        links = links.unionByName(stored(verified(again, texts, idf, similar)))
+        rest = cross_pairs(open_.filter(F.col("n") <= FEW).select("key", "node", "label")).withColumn("bound", F.lit(1.0))
+        large = open_.filter(F.col("n") > FEW).select("key", "node", "label", "n")
+        if not large.isEmpty():
+            who = large.select("node").distinct()
+            seen = profiles(texts.join(who, "node", "left_semi"), idf).join(nodes.select("node", "keys"), "node")
+            rest = rest.unionByName(block_pairs(large, seen, similar))
+        rest = stored(rest.groupBy("a", "b").agg(F.max("bound").alias("bound")))
+        nearest = stored(rest.groupBy("a").agg(F.max_by("b", F.struct("bound", "b")).alias("b")))
+        links = links.unionByName(stored(verified(nearest, texts, idf, similar)))
         labels = components(links)
-        small = labelled(open_.filter(F.col("n") <= FEW).select("key", "node"), labels)
-        rest = cross_pairs(small).unionByName(cross_pairs(mixed(labelled(large, labels)).select("key", "node", "label"))).distinct()
-        last = stored(verified(rest, texts, idf, similar))
+        named = labels.select(F.col("node").alias("a"), F.col("label").alias("label_a")), labels.select(F.col("node").alias("b"), F.col("label").alias("label_b"))
+        rest = rest.join(nearest, ["a", "b"], "left_anti").join(named[0], "a", "left").join(named[1], "b", "left")
+        last = stored(verified(rest.filter(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b"), texts, idf, similar))
         if not last.isEmpty():
             labels = components(links.unionByName(last))
     own = labelled(signed.select("doc_id", "row_key", F.coalesce("node", F.concat(F.lit("none "), F.col("row_key"), F.lit(" "), F.monotonically_increasing_id())).alias("node")), labels)

@@ -224,6 +224,34 @@ def test_near_dedup(spark, make_docs, monkeypatch, few):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values())) and kept.columns[-2:] == ["label", "key"]
 
 
+def test_profiles_bound_similarity():
+    rng = np.random.default_rng(4)
+    a = np.unique(rng.integers(1, 1 << 63, 900, dtype=np.uint64))
+    for k in range(40):
+        parts = [np.flatnonzero(rng.random(len(a)) < rng.uniform(0.3, 1)) for _ in range(2)]
+        pair = [(a[p], (rng.uniform(0.5, 2, len(p)) * 10.0 ** (k % 8)).astype(np.float32)) for p in parts]
+        (one, other), total = [np.frombuffer(near_dedup.profile(*x), np.float16).astype(np.float32) for x in pair], [float(w.sum(dtype=np.float64)) for _, w in pair]
+        bound = near_dedup.bounds(one, total[0], other[None, :], np.array(total[1:]))[0]
+        assert near_dedup.similarity(*pair) - 1e-5 <= bound <= 1
+
+
+@pytest.mark.parametrize("block", [512, 3])
+def test_near_dedup_single_band_of_a_large_group(spark, make_docs, monkeypatch, block):
+    """Two copies of each other in a large band that no centre joins, and that share no second band."""
+    monkeypatch.setattr(near_dedup, "FEW", 8)
+    monkeypatch.setattr(near_dedup, "BLOCK", block, raising=False)
+    copy = text_of(50, 120, 5000)
+    rows = [(i, text_of(i, 120, 5000)) for i in range(12)] + [(100, copy), (101, edited(copy, [60]))]
+
+    def signed(docs, idf):  # all meet in band 0; the first twelve in every band, the two copies in no other
+        out = [(d, hashlib.md5(t.encode()).hexdigest(), [0, *(k + 1000 * (d if d >= 100 else 0) for k in range(1, near_dedup.BANDS))]) for d, t in rows]
+        return docs.sparkSession.createDataFrame([(d, f"{d}:{h}", h, keys) for d, h, keys in out], "doc_id long, row_key string, node string, keys array<long>")
+
+    monkeypatch.setattr(near_dedup, "signatures", signed)
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(make_docs(rows)).collect()}
+    assert got == {i: i for i in range(12)} | {100: 100, 101: 100}
+
+
 def test_near_dedup_odd_rows(spark, make_docs):
     docs = make_docs([(1, "same words here again now"), (1, "same words here again now"), (None, "same words here again now"), (None, None), (2, "other")])
     assert near_dedup.keep_one(docs).filter("doc_id = 1").count() == 1

@@ -11,7 +11,8 @@ from .common import read_table, small_side, written
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 FOLLOW = 0.5      # share of a host's trust that its links pass on
 ROUNDS = 12       # what is left to pass on after them is below FOLLOW ** ROUNDS
-BLOCK_FROM = 0.5  # distrust less trust, in units of one wholly blocked host
+BLOCK_FROM = 0.5  # distrust less trust above this blocks, in units of what a host gets whose every link goes to a wholly blocked host
+DIGITS = 9        # masses are compared after rounding, as their sums depend on the order
 HOST_ROWS = 200_000  # hosts up to which their scores are broadcast
 LINK = r"""(?i)href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -69,7 +70,7 @@ def propagate(seeds: DataFrame, edges: DataFrame, follow: float = FOLLOW, rounds
 
 
 def judge(pages: DataFrame, rules=RULES, block_from: float = BLOCK_FROM) -> DataFrame:
-    """pages with host, path, rule, verdict, trust and distrust; the rule's verdict, else block where distrust less trust reaches block_from.
+    """pages with host, path, rule, verdict, trust and distrust; the rule's verdict, else block where distrust less trust is above block_from.
 
     Trusted seeds are hosts by the share of their pages that rules allow, blocked seeds by the share that they block.
     Trust follows links from the trusted; distrust runs against the links, from the blocked to those that link to them.
@@ -91,7 +92,7 @@ def judge(pages: DataFrame, rules=RULES, block_from: float = BLOCK_FROM) -> Data
     sums = [F.sum(F.when(F.col("kind") == k, F.col("mass"))).alias(k) for k in ("trust", "distrust")]
     scores = mass.groupBy("host").agg(*sums).na.fill(0.0, ["trust", "distrust"])
     judged = rows.join(small_side(written(scores), HOST_ROWS), "host", "left").na.fill(0.0, ["trust", "distrust"])
-    by_method = F.when(F.col("distrust") - F.col("trust") >= block_from, F.lit("block")).otherwise(F.lit("allow"))
+    by_method = F.when(F.round((F.col("distrust") - F.col("trust")) / FOLLOW, DIGITS) > block_from, F.lit("block")).otherwise(F.lit("allow"))
     return judged.withColumn("verdict", F.coalesce("verdict", by_method))
 
 

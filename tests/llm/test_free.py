@@ -57,6 +57,16 @@ def test_url_propagation(spark):
     assert url_graph.judge(pages.limit(0)).count() == 0
 
 
+def test_url_mostly_bad_hosts(spark):
+    link = lambda *hosts: "".join(f'<a href="http://{h}/">x</a>' for h in hosts)
+    bad, fine = [f"b{i}.net" for i in range(10)], [f"f{i}.test" for i in range(10)]
+    rows = [f"http://{h}/" for h in bad]
+    pages = [(0, u, "") for u in rows] + [(n, f"http://h{n}.test/", link(*bad[:n], *fine[n:])) for n in range(11)] + [(20, "http://sub.tied.test/", link(*bad))]
+    got = {r.host: r.verdict for r in url_graph.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert {n for n in range(11) if got[f"h{n}.test"] == "block"} == {6, 7, 8, 9, 10}
+    assert got["sub.tied.test"] == "block"
+
+
 # -- languages
 
 SYLLABLES = {"en": "th the er on an re ing ed wh sh", "de": "sch en ung keit ch ei ver ge ber ü", "fr": "eau ou ai é è tion que aux oi ç", "es": "ción ado os as ñ que rr ll mente ía"}

@@ -367,3 +367,24 @@ def test_network_learns():
     assert ((p >= model["threshold"]) & y).sum() >= 0.85 * y.sum() and ((p >= model["threshold"]) & ~y).sum() <= 0.05 * (~y).sum()
 
 
+def test_candidates_are_seen_whole():
+    key = "Zq8Rt5Yp3Lk9Wd2Xc7VZ"
+    text = f"see {'some/dotted.path/' * 6}{key} now, abcdefghijklmnopqr, {key}0123456789abcdef{key}!"
+    found = secret_scan.candidates(text, secret_scan.base_spans(text))
+    assert [(text[a:b], label) for a, b, label, _ in found] == [(text[4:4 + 17 * 6 + 20], False), ("abcdefghijklmnopqr", False), (f"{key}0123456789abcdef{key}", True), (key, None), (key, None)]
+    n = secret_scan.LENGTH
+    parts = [found[0][3][i:i + n] for i in range(0, len(found[0][3]), n)]
+    assert all(len(p) == n for p in parts) and any(key in p for p in parts)
+    assert found[2][3][secret_scan.BEFORE:].startswith("0123456789abcdef")
+
+
+def test_threshold_is_the_recall_point():
+    """Labels that the windows hardly tell apart have a recall point far below 0.9."""
+    rng = random.Random(9)
+    seen = [secret_scan.window("".join(rng.choice("abcdef0123456789") for _ in range(20)), 0, 20) for _ in range(400)]
+    labels = np.array([rng.random() < 0.5 for _ in seen])
+    model = secret_scan.learn(seen, labels)
+    held = np.arange(400) % 5 == 4
+    p = secret_scan.probabilities(model, [w for w, h in zip(seen, held, strict=True) if h])
+    assert (p[labels[held]] >= model["threshold"]).mean() >= secret_scan.RECALL
+    assert model["false_positive_rate"] == (p[~labels[held]] >= model["threshold"]).mean()

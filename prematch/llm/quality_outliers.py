@@ -15,10 +15,10 @@ SPAN = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 
 UNIT = 1024             # statistics are whole multiples of 1/UNIT, so that sums do not depend on their order
-FLOORS = (0.25, 0.08, 0.15, 0.15, 0.15)  # least standard deviation of each statistic; also keeps the estimate regular
+FLOORS = (0.25, 0.08, 0.22, 0.1, 0.1)  # least standard deviation of each statistic; also keeps the estimate regular. Of symbols it leaves room for tables
 KEEP_SHARE = 0.75       # the minimum-covariance-determinant subset
 CONSISTENCY = 1.41      # covariance of the central 75 % of a 5-variate normal to that of all of it
-CUTOFF = 35.89          # squared distance; 1 in a million of a 5-variate normal lies beyond
+CUTOFF = 20.515         # squared distance; 1 in a thousand of a 5-variate normal lies beyond
 STEPS = 4
 MIN_GROUP = 60          # smaller groups are estimated together with the other small ones of their language
 GROUP_ROWS = 100_000    # groups up to which their estimates are broadcast

@@ -140,6 +140,24 @@ def test_quality_outliers(spark, make_docs):
     assert quality_outliers.judge(docs.limit(0)).count() == 0
 
 
+def test_quality_repeats_alone(spark, make_docs):
+    """In a group without repeats, 50 to 70 % repeated lines or 25 % repeated words are enough by themselves; a table is not."""
+    rng = random.Random(5)
+    line = lambda i: text_of(i, 6, 5000)
+    rows = [(i, "\n".join(line(40 * i + k) for k in range(rng.randint(20, 40))), "en", "a") for i in range(200)]
+    for n, share in enumerate((0.5, 0.6, 0.7)):  # lines of under 8 words each between others, so that no 8-word window repeats
+        lines = [line(90_000 + 100 * n + k) if k >= share * 30 else "w1 w2" for k in range(31)]
+        rng.shuffle(lines)
+        rows.append((1000 + n, "\n".join(lines), "en", "a"))
+    part = text_of(77_000, 20, 5000)
+    rows.append((1100, f"{text_of(77_001, 60, 5000)} {part} {text_of(77_002, 60, 5000)} {part}", "en", "a"))
+    rows += [(1200 + n, "\n".join(" ".join(f"{w} |" if k % 2 else w for k, w in enumerate(line(95_000 + 50 * n + k).split())) for k in range(30)), "en", "a") for n in range(4)]
+    got = {r.doc_id: r for r in quality_outliers.judge(make_docs(rows)).collect()}
+    assert not any(got[d].base_failed for d in got if d != 1002)
+    assert not any(got[d].kept for d in (1000, 1001, 1002, 1100))
+    assert all(got[1200 + n].kept for n in range(4)) and sum(got[i].kept for i in range(200)) >= 198
+
+
 # -- mixing
 
 def brute_targets(sizes):

@@ -8,6 +8,7 @@ from .language_id import op3_language_id
 from .license_scan import OP2_SQL, op2_license_scan
 from .mixing import OP9_SQL, op9_mix_sources
 from .near_dedup import op8_near_dedup
+from .packing import op11_best_fit_packing
 from .quality_outliers import op7_quality_outliers
 from .secret_scan import op10_secret_scan
 from .substring_dedup import op5_substring_dedup
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_secret_scan": op10_secret_scan,
+    "op11_best_fit_packing": op11_best_fit_packing,
 }
 ORACLES = {"op2_license_scan": OP2_SQL, "op6_decontaminate": OP6_SQL, "op9_mix_sources": OP9_SQL}

@@ -12,6 +12,7 @@ from .packing import op11_best_fit_packing
 from .quality_outliers import op7_quality_outliers
 from .secret_scan import op10_secret_scan
 from .substring_dedup import op5_substring_dedup
+from .token_alignment import op12_token_alignment
 from .url_graph import op1_url_filter
 
 QUERIES = {
@@ -26,5 +27,6 @@ QUERIES = {
     "op9_mix_sources": op9_mix_sources,
     "op10_secret_scan": op10_secret_scan,
     "op11_best_fit_packing": op11_best_fit_packing,
+    "op12_token_alignment": op12_token_alignment,
 }
 ORACLES = {"op2_license_scan": OP2_SQL, "op6_decontaminate": OP6_SQL, "op9_mix_sources": OP9_SQL}

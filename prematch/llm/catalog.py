@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .collocations import OP13_SQL, op13_collocations
 from .decontaminate import OP6_SQL, op6_decontaminate
 from .html_extract import op4_html_extract
 from .language_id import op3_language_id
@@ -28,5 +29,6 @@ QUERIES = {
     "op10_secret_scan": op10_secret_scan,
     "op11_best_fit_packing": op11_best_fit_packing,
     "op12_token_alignment": op12_token_alignment,
+    "op13_collocations": op13_collocations,
 }
-ORACLES = {"op2_license_scan": OP2_SQL, "op6_decontaminate": OP6_SQL, "op9_mix_sources": OP9_SQL}
+ORACLES = {"op2_license_scan": OP2_SQL, "op6_decontaminate": OP6_SQL, "op9_mix_sources": OP9_SQL, "op13_collocations": OP13_SQL}

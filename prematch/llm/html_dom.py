@@ -19,13 +19,84 @@ BAD_TAGS = frozenset("nav header footer aside form head button select dialog men
 GOOD_TOKENS = frozenset("article body content entry main post prose story text".split())
 BAD_TOKENS = frozenset("ad ads advert advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus footer form header login menu nav navbar navigation newsletter notice pager pagination popup promo related reply replies share sharing sidebar signup social sponsor sponsored subscribe tags toolbar widget".split())
 
-TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|[/!?a-zA-Z][^<>]*\Z)""", re.S)
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+SPECIAL = re.compile(r"""[>"']""")
+LONG_REFERENCE = re.compile(r"&#[xX]?[0-9a-fA-F]{20,};?")
 ATTRIBUTE = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WHITE = re.compile(r"[\x20\x09-\x0D]+")
 FEATURES = ("depth", "good_tag", "bad_tag", "good_tokens", "bad_tokens", "good_above", "bad_above", "is_p", "is_heading", "is_list", "is_table", "own_log", "text_log", "share", "per_element",
             "link_share", "children", "p_children", "place", "siblings", "same_siblings", "text_of_parent", "commas", "blocks")
 
 
+class Markup:
+    """The tags of a page in order, in time linear in its length.
+
+    A tag is ``<``, an optional ``/``, a name and attributes up to a ``>`` outside quotes. Comments and declarations are skipped, and an
+    unfinished tag at the end. Any other ``<`` is text, so is one whose quotes never close. Whether a tag closes depends only
+    on the first ``>`` or quote after its name; places from which none closes are remembered, and no search is made beyond the last
+    character of its kind.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {c: page.rfind(c) for c in "<>\"'"}
+        self.special, self.unclosed = -1, set()
+
+    def _next_special(self, at: int) -> int:
+        if self.special < at:
+            m = SPECIAL.search(self.page, at)
+            self.special = m.start() if m else len(self.page)
+        return self.special
+
+    def closing(self, at: int) -> int:
+        """The place of the ``>`` that ends a tag whose name ends at ``at``; -1 if there is none."""
+        if at > self.last[">"]:
+            return -1
+        place, passed = self._next_special(at), []
+        while place < len(self.page) and place not in self.unclosed:
+            c = self.page[place]
+            if c == ">":
+                return place
+            passed.append(place)
+            if place >= self.last[c]:
+                break
+            m = SPECIAL.search(self.page, self.page.find(c, place + 1) + 1)
+            place = m.start() if m else len(self.page)
+        self.unclosed.update(passed)
+        return -1
+
+    def after(self, at: int) -> tuple[int, int, re.Match | None]:
+        """(start, end, name) of the next thing at or after ``at`` that is not text; the name is None if it is no tag; start -1: only text is left."""
+        page = self.page
+        while 0 <= (start := page.find("<", at) if at <= self.last["<"] else -1):
+            head = page[start + 1:start + 2]
+            if page.startswith("!--", start + 1):
+                end = page.find("-->", start + 4)
+                return start, len(page) if end < 0 else end + 3, None
+            if head in ("!", "?") and start < self.last[">"]:
+                return start, page.find(">", start) + 1, None
+            if m := NAME.match(page, start + 1):
+                end = self.closing(m.end())
+                if end >= 0:
+                    return start, end + 1, m
+            if start == self.last["<"] and start > self.last[">"] and (head in ("/", "!", "?") or (head.isascii() and head.isalpha())):
+                return start, len(page), None
+            at = start + 1
+        return -1, len(page), None
+
+    def raw_end(self, tag: str, at: int) -> int:
+        """Where the content and the end tag of a script or the like are over."""
+        m = re.compile(rf"</{re.escape(tag)}", re.I).search(self.page, at)
+        return self.page.find(">", m.end()) + 1 if m and m.end() <= self.last[">"] else len(self.page)
+
+
+def decoded(text: str) -> str:
+    try:
+        return html.unescape(text)
+    except ValueError:  # a number too long to be read
+        return html.unescape(LONG_REFERENCE.sub("\ufffd", text))
+
+
 class Dom:
     """Elements by number, parents before children: tag, parent, depth, tokens; blocks: (element, text) in page order."""
 
@@ -34,47 +105,44 @@ class Dom:
         self.blocks: list[tuple[int, str]] = []
         self.links: dict[int, int] = {}
         stack, at, text, in_link = [0], 0, [], 0
+        open_at: dict[str, list[int]] = {}  # where in the stack the open elements of each tag are
 
         def flush() -> None:
             if text:
-                line = WHITE.sub(" ", html.unescape("".join(text))).strip(" ")
+                line = WHITE.sub(" ", decoded("".join(text))).strip(" ")
                 if line:
                     self.blocks.append((stack[-1], line))
                 text.clear()
 
-        def close(tag: str, until: tuple[str, ...] = ()) -> bool:
-            for k in range(len(stack) - 1, 0, -1):
-                if self.tag[stack[k]] == tag:
-                    flush()
-                    del stack[k:]
-                    return True
-                if self.tag[stack[k]] in until:
-                    return False
-            return False
-
-        n = len(page)
+        def close(tag: str, until: tuple[str, ...] = ()) -> None:
+            if not open_at.get(tag) or any(open_at[u][-1] > open_at[tag][-1] for u in until if open_at.get(u)):
+                return
+            flush()
+            for _ in range(len(stack) - open_at[tag][-1]):
+                open_at[self.tag[stack.pop()]].pop()
+
+        n, markup = len(page), Markup(page)
         while at < n:
-            m = TAG.search(page, at)
-            piece = page[at:m.start()] if m else page[at:]
+            start, end, name = markup.after(at)
+            piece = page[at:start] if start >= 0 else page[at:]
             if piece:
                 text.append(piece)
                 if in_link:
                     self.links[stack[-1]] = self.links.get(stack[-1], 0) + len(piece)
-            if not m:
+            if start < 0:
                 break
-            at = m.end()
-            if m[2] is None:
+            at = end
+            if name is None:
                 continue
-            tag = m[2].lower()
-            if m[1]:
+            tag, attributes = name[2].lower(), page[name.end():end - 1]
+            if name[1]:
                 if tag in INLINE:
                     in_link = 0 if tag == "a" else in_link
                 elif tag not in VOID:
                     close(tag)
                 continue
-            if tag in RAW and not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}[^>]*>", re.I).search(page, at)
-                at = end.end() if end else n
+            if tag in RAW and not attributes.endswith("/"):
+                at = markup.raw_end(tag, at)
                 continue
             if tag in INLINE:
                 in_link = 1 if tag == "a" else in_link
@@ -90,8 +158,9 @@ class Dom:
             self.tag.append(tag)
             self.parent.append(stack[-1])
             self.depth.append(len(stack))
-            found = ATTRIBUTE.findall(m[3]) if m[3] else ()
+            found = ATTRIBUTE.findall(attributes) if attributes else ()
             self.tokens.append(tuple(t for a in found for t in re.split(r"[^a-z0-9]+", "".join(a).lower()) if t))
+            open_at.setdefault(tag, []).append(len(stack))
             stack.append(len(self.tag) - 1)
         flush()
 

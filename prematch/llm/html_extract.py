@@ -132,10 +132,21 @@ def decide(dom: Dom, log_odds: np.ndarray) -> np.ndarray:
     return keep
 
 
+def with_headings(dom: Dom, keep: np.ndarray) -> np.ndarray:
+    """On a page without any landmark, a heading goes with what follows it: kept if it has a later sibling that is."""
+    lost = [e for e in range(1, len(dom.tag)) if not keep[e] and keep[dom.parent[e]] and re.fullmatch("h[1-6]", dom.tag[e])]
+    if lost and (labels(dom)[1:] == -1).all():
+        last = {dom.parent[e]: e for e in range(1, len(dom.tag)) if keep[e]}
+        keep = keep.copy()
+        for e in lost:
+            keep[e] = last.get(dom.parent[e], 0) > e
+    return keep
+
+
 def extract(pages: DataFrame, model: Boosted | None) -> DataFrame:
     """pages with text (article blocks in page order, one per line) and n_chars, from the whole html.
 
-    Null and empty html, and pages without an article, give an empty text. Without a model every block is kept that no
+    Null and empty html, and pages without an article, give an empty text. Parsing takes time in proportion to the page, however broken. Without a model every block is kept that no
     landmark marks as boilerplate. Repeated rows get equal results. No rows: no rows. Other columns pass through, except
     those named like an added one.
     """
@@ -151,7 +162,7 @@ def extract(pages: DataFrame, model: Boosted | None) -> DataFrame:
                 stats = [d.statistics() for d in doms]
                 ends = np.cumsum([len(s) for s in stats])
                 scores = model.log_odds(np.concatenate(stats)) if stats else np.zeros(0)
-                verdicts = [decide(d, scores[e - len(d.tag):e]) for d, e in zip(doms, ends, strict=True)]
+                verdicts = [with_headings(d, decide(d, scores[e - len(d.tag):e])) for d, e in zip(doms, ends, strict=True)]
             yield pd.Series(["\n".join(line for e, line in d.blocks if keep[e] and e) for d, keep in zip(doms, verdicts, strict=True)])
 
     added = ("text", "n_chars")

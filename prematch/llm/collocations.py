@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import read_table, stored, text_batches
 from .hat_trie import MAX_ENTRIES, HatTrie, key_hashes
+from .key_filter import key_filter, passes
 from .word_hashes import LOWER, mix, word_hashes
 
 LEAST = 30            # a candidate occurs at least so often
@@ -20,7 +21,6 @@ LONGEST = 4
 TOP = 2000            # phrases reported per language
 COVERED = 80          # percent of a candidate's occurrences that a longer candidate must have to drop it
 CHUNK = 1 << 22       # bytes that are split into words at once; longer texts are cut where pieces end
-FILTER_BITS = (16, 28)   # the filter of frequent keys has between 2**16 and 2**28 bits (32 MB); a full one only lets more rows through
 HOT_PREFIX = 1 / 1000    # a first pair with more than this share of all words has its phrases dealt out by their later words too
 RANK_BUCKETS = 256
 TRIES = 4             # seeds of word ids to try, should two words of a language get one id
@@ -104,11 +104,6 @@ def _word_runs(batches, seed, max_entries):
         yield counted(*run)
 
 
-def _bit(filter_: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = hashes & np.uint64(8 * len(filter_) - 1)
-    return (filter_[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
-
-
 def _phrase_runs(batches, seed, lengths, max_entries, filter_, hot):
     """Runs of the phrases of the given lengths all of whose parts of the length below may be frequent, by the filter."""
     width, part, bits = max(lengths), min(lengths) - 1, filter_.value
@@ -132,7 +127,7 @@ def _phrase_runs(batches, seed, lengths, max_entries, filter_, hot):
                 n = len(ids) - part + 1
                 if n < 2:
                     continue
-                ok = _bit(bits, key_hashes(np.stack([ids[j:j + n] for j in range(part)])))
+                ok = passes(bits, key_hashes(np.stack([ids[j:j + n] for j in range(part)])))
                 keys = []
                 for k in lengths:
                     m = len(ids) - k + 1
@@ -153,27 +148,13 @@ def _phrase_runs(batches, seed, lengths, max_entries, filter_, hot):
         yield out(*run)
 
 
-def _filter_of(frequent: DataFrame, columns: list[str], spark: SparkSession):
-    """A bit per hash of the frequent keys, put together in pieces of 8 KB; its size follows their number up to the fixed bound."""
-    total = max(frequent.count(), 1)
-    bits = min(max(FILTER_BITS[0], int(16 * total).bit_length()), FILTER_BITS[1])
-
-    def places(batches):
+def _filter_of(frequent: DataFrame, columns: list[str]):
+    """A bounded filter of the hashes of the frequent keys."""
+    def hashed(batches):
         for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy().view(np.uint64) for c in columns])
-            at = (key_hashes(keys) & np.uint64((1 << bits) - 1)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(at >> 16), pa.array(at & 0xFFFF)], names=["piece", "at"])
-
-    def put(table: pa.Table) -> pa.Table:
-        marks = np.zeros(1 << 16, np.uint8)
-        marks[table["at"].to_numpy()] = 1
-        return pa.table({"piece": table["piece"][:1], "bits": pa.array([np.packbits(marks, bitorder="little").tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_arrays([_signed(key_hashes(np.stack([batch.column(c).to_numpy().view(np.uint64) for c in columns])))], names=["key"])
 
-    marked = frequent.select(*columns).mapInArrow(places, "piece long, at long").distinct()
-    whole = np.zeros(1 << (bits - 3), np.uint8)
-    for row in marked.groupBy("piece").applyInArrow(put, "piece long, bits binary").toLocalIterator():
-        whole[row["piece"] << 13:(row["piece"] + 1) << 13] = np.frombuffer(row["bits"], np.uint8)
-    return spark.sparkContext.broadcast(whole)
+    return key_filter(frequent.select(*columns).mapInArrow(hashed, "key long"), "key", frequent.count())
 
 
 def _words(texts: DataFrame, max_entries: int) -> tuple[DataFrame, int]:
@@ -194,8 +175,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, m
     Three scans: words, pairs of frequent words, longer phrases of frequent pairs. Each task counts in its own trie and spills sorted
     subtrees; runs are merged where their first two words send them, those of very frequent pairs also by their later words.
     """
-    spark = docs.sparkSession
-    text_batches(spark)
+    text_batches(docs.sparkSession)
     texts = docs.select(F.col("text").cast("string"), F.col("lang").cast("string"))
     words, seed = _words(texts, max_entries)
     frequent = words.filter(F.col("n") >= least)
@@ -206,7 +186,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, m
     for lengths in ([2], list(range(3, longest + 1))):
         if not [k for k in lengths if k <= longest]:
             continue
-        shared = _filter_of(part, columns, spark)
+        shared = _filter_of(part, columns)
         columns = [f"w{i + 1}" for i in range(max(lengths))]
         schema = ", ".join(f"{c} long" for c in [*columns, "deal", "n"])
         runs = texts.mapInArrow(lambda batches, k=lengths, s=shared, h=hot: _phrase_runs(batches, seed, k, max_entries, s, h), schema)

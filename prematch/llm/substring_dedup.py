@@ -9,15 +9,17 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import read_table, stored, text_batches
 from .fm_index import FmIndex
+from .key_filter import key_filter, passes
 from .word_hashes import run_hashes, word_hashes
 
 WINDOW = 20            # words
 GRAM = 6               # words of an anchor: the least hash among the WINDOW - GRAM + 1 grams of a window
 SHARD_WORDS = 1_000_000
-HOT_PASSAGES = 20_000  # an anchor with more distinct passages is spread over the shards window by window
+HOT_WORDS = 400_000    # an anchor whose distinct passages have more words is spread over the shards window by window
 LAST = np.iinfo(np.int64).max
 
 
@@ -53,14 +55,30 @@ def text_words(text: str | None) -> np.ndarray:
     return word_hashes((text or "").encode("utf-8", "replace"))
 
 
-def _runs(docs: DataFrame, window: int) -> DataFrame:
-    """(doc, rid, anchor, passage, start, n, twice) of every run of every text; whole columns, as a corpus has a run every few words."""
+def _met(docs: DataFrame, window: int) -> DataFrame:
+    """(anchor, met): how many runs each anchor has in a batch of texts, a run that holds it twice counting as two."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [runs_of(word_hashes(text.as_buffer() if text.is_valid else b""), window) for text in batch.column("text")]
+            if parts:
+                anchors, which = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+                met = np.bincount(which, weights=1 + np.concatenate([p[3] for p in parts]), minlength=len(anchors))
+                yield pa.RecordBatch.from_arrays([pa.array(anchors.view(np.int64)), pa.array(met.astype(np.int64))], names=["anchor", "met"])
+
+    return docs.select("text").mapInArrow(count, "anchor long, met long")
+
+
+def _runs(docs: DataFrame, window: int, wanted) -> DataFrame:
+    """(doc, rid, anchor, passage, start, n, twice) of the runs of every text whose anchor passes the broadcast filter; whole columns, as a
+    corpus has a run every few words."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts: list[tuple[np.ndarray, ...]] = []
             for text in batch.column("text"):
                 words = word_hashes(text.as_buffer() if text.is_valid else b"")
                 anchor, start, n, twice = runs_of(words, window)
+                kept = passes(wanted.value, anchor)
+                anchor, start, n, twice = anchor[kept], start[kept], n[kept], twice[kept]
                 parts.append((anchor.view(np.int64), passage_hashes(words, start, n + window - 1).view(np.int64), start.astype(np.int32), n.astype(np.int32), twice))
             which = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
             columns = [batch.column(c).take(pa.array(which)) for c in ("doc", "rid")]
@@ -131,23 +149,23 @@ def search_shard(frame: pd.DataFrame, window: int = WINDOW) -> pd.DataFrame:
 def covered_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc, rid, start, stop): stretches of words under a window that also starts earlier; docs: doc, rid, text.
 
-    1. Runs of windows are counted per anchor; only anchors met twice go on.
+    1. Runs of windows are counted per anchor; only runs pass whose anchor, by a filter of bounded size, may be met twice. What the
+       filter lets through by chance is alone with its anchor and goes no further than step 2.
     2. Among their runs, each distinct passage keeps its earliest place. Every later copy is covered as a whole.
     3. Distinct passages that share an anchor are gathered into shards by anchor, at their earliest places; a shard's index is
-       searched for every window of its passages, and those with an earlier place are reported. An anchor with
-       more than HOT_PASSAGES passages is dealt window by window, equal windows combined first, so a shard stays near SHARD_WORDS.
+       searched for every window of its passages, and those with an earlier place are reported. An anchor whose passages have
+       more than HOT_WORDS words is dealt window by window, equal windows combined first, so a shard stays near SHARD_WORDS.
     """
-    runs = _runs(docs, window)
-    twice = runs.groupBy("anchor").agg(F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("met")).filter("met > 1").select("anchor")
-    hits = stored(runs.join(twice, "anchor"))
+    twice = stored(_met(docs, window).groupBy("anchor").agg(F.sum("met").alias("met")).filter("met > 1").select("anchor"))
+    hits = stored(_runs(docs, window, key_filter(twice, "anchor", twice.count())))
     passages = hits.groupBy("anchor", "passage").agg(F.min(F.struct("doc", "start", "rid")).alias("first"), F.max("n").alias("n"), F.max("twice").alias("twice"))
     passages = stored(passages)
-    later = hits.join(passages.select("anchor", "passage", "first"), ["anchor", "passage"])
+    later = hits.join(passages.select("anchor", "passage", "first").hint("merge"), ["anchor", "passage"])
     later = later.filter((F.col("doc") > F.col("first.doc")) | ((F.col("doc") == F.col("first.doc")) & (F.col("start") > F.col("first.start"))))
     later = later.select("doc", "rid", F.col("start").cast("long").alias("start"), (F.col("start") + F.col("n") + (window - 1)).cast("long").alias("stop"))
 
-    several = passages.groupBy("anchor").agg(F.count("*").alias("m"), F.max("twice").alias("again")).filter((F.col("m") > 1) | F.col("again"))
-    wanted = stored(passages.join(several, "anchor").select("first.doc", "first.rid", F.struct("anchor", "passage", F.col("first.start").alias("start"), "n", (F.col("m") > HOT_PASSAGES).alias("hot")).alias("run")))
+    several = passages.groupBy("anchor").agg(F.count("*").alias("m"), F.sum(F.col("n").cast("long") + (window - 1)).alias("words"), F.max("twice").alias("again")).filter((F.col("m") > 1) | F.col("again"))
+    wanted = stored(passages.join(several.hint("merge"), "anchor").select("first.doc", "first.rid", F.struct("anchor", "passage", F.col("first.start").alias("start"), "n", (F.col("words") > HOT_WORDS).alias("hot")).alias("run")))
     sums = wanted.agg(F.sum(F.col("run.n") + (window - 1)).alias("words"), F.sum(F.when(F.col("run.hot"), F.col("run.n") * window)).alias("hot")).first()
     per_doc = wanted.groupBy("doc", "rid").agg(F.collect_list("run").alias("wanted"))  # as long as the text at most
     found = _passages(docs.join(per_doc.hint("shuffle_hash"), ["doc", "rid"]), window)
@@ -165,10 +183,16 @@ def covered_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def _with_keys(docs: DataFrame) -> DataFrame:
-    """docs with doc (the id, null last) and rid (tells apart rows that repeat an id with another text; 0 where no id is repeated)."""
+    """docs with doc (the id, null last) and rid (tells apart rows that repeat an id with another text; 0 where no id is repeated).
+    Ids that are no whole numbers are numbered in their own order."""
     unique = docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
-    rid = F.lit(0).cast("long") if unique else F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    return docs.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "rid": rid})
+    rid = F.lit(0).cast("long") if unique else F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        known = docs.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct().orderBy("doc_id")
+        docs = docs.join(stored(known.withColumn("doc", F.monotonically_increasing_id())), "doc_id", "left")
+    else:
+        docs = docs.withColumn("doc", F.col("doc_id").cast("long"))
+    return docs.withColumns({"doc": F.coalesce("doc", F.lit(LAST)), "rid": rid})
 
 
 def kept_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -176,11 +200,13 @@ def kept_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     A word is removed if it lies in a window of ``window`` words that also starts earlier: in a document with a smaller
     doc_id, or earlier in the same one. Words are compared by 64-bit hashes. Null, empty and short texts lose nothing.
-    A null doc_id comes last (as the greatest long, which stands for null); rows that repeat an id are ordered by start alone. No rows: no rows.
+    A null doc_id comes last (as the greatest long, which stands for null); rows that repeat an id are ordered by start alone. Ids that are
+    no whole numbers are compared by their own order, strings by their bytes. No rows: no rows.
     """
     text_batches(docs.sparkSession)
     # both joins with the texts are in one plan and take the same columns, so the texts are shuffled once
-    keyed = _with_keys(docs.select("doc_id", "text")).select("doc", "rid", "text")
+    whole = isinstance(docs.schema["doc_id"].dataType, T.IntegralType)
+    keyed = _with_keys(docs.select("doc_id", "text")).select("doc", "rid", "text", *([] if whole else ["doc_id"]))
     gone = covered_words(keyed, window).groupBy("doc", "rid").agg(F.collect_set(F.struct("start", "stop")).alias("gone"))
 
     @F.pandas_udf("n_words long, n_removed long, kept string")
@@ -197,7 +223,7 @@ def kept_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pd.DataFrame(out, columns=["n_words", "n_removed", "kept"])
 
     joined = keyed.join(gone.hint("shuffle_hash"), ["doc", "rid"], "left")
-    return joined.select(F.when(F.col("doc") != LAST, F.col("doc")).alias("doc_id"), cut("text", "gone").alias("c")).select("doc_id", "c.*")
+    return joined.select(F.when(F.col("doc") != LAST, F.col("doc")).alias("doc_id") if whole else "doc_id", cut("text", "gone").alias("c")).select("doc_id", "c.*")
 
 
 def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:

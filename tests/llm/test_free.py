@@ -156,9 +156,9 @@ def brute_passages(rows, window=20):
     return out
 
 
-@pytest.mark.parametrize("hot", [20_000, 1])
+@pytest.mark.parametrize("hot", [400_000, 400, 20])
 def test_substring_dedup(spark, make_docs, monkeypatch, hot):
-    monkeypatch.setattr(substring_dedup, "HOT_PASSAGES", hot)
+    monkeypatch.setattr(substring_dedup, "HOT_WORDS", hot)
     monkeypatch.setattr(substring_dedup, "SHARD_WORDS", 500)
     shared = [text_of(900 + k, 25 + k) for k in range(6)]
     rng = random.Random(2)
@@ -176,6 +176,24 @@ def test_substring_dedup_repeated_rows(spark, make_docs):
     assert substring_dedup.kept_words(docs.limit(0)).count() == 0
 
 
+def test_substring_dedup_string_ids_and_one_long_run(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HOT_WORDS", 1000)
+    passage, again = text_of(1, 60), "same " * 30_000
+    docs = spark.createDataFrame([("b", passage), ("a10", passage + " end"), ("a9", again), ("c", again + passage), (None, passage), ("d", None)], "doc_id string, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.kept_words(docs).collect()}
+    assert got == {"a10": (61, 0), "b": (60, 60), "a9": (30_000, 29_999), "c": (30_060, 30_060), None: (60, 60), "d": (0, 0)}
+
+
+def test_key_filter_lets_all_its_keys_through(spark):
+    from prematch.llm.key_filter import key_filter, passes
+    from prematch.llm.word_hashes import mix
+    for n in (0, 1, 5000):
+        keys = mix(np.arange(n, dtype=np.uint64))
+        bits = key_filter(spark.createDataFrame([(int(k),) for k in keys.view(np.int64)], "k long"), "k", n).value
+        assert passes(bits, keys).all()
+        assert passes(bits, mix(np.arange(10**6, 10**6 + 20_000, dtype=np.uint64))).mean() < 0.1
+
+
 def test_fm_index_counts():
     rng = np.random.default_rng(1)
     text = rng.integers(0, 5, 600)

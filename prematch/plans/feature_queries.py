@@ -135,19 +135,23 @@ def e6_leaks(t: Tables):
 
 
 def competitions(t: Tables):
-    return t.matches.select("competition_id").distinct().filter("competition_id <> '5-LOW'").select(
-        "competition_id", F.when(F.col("competition_id") == "4-NOT SPECIFIED", F.lit("friendly")).when(F.col("competition_id") == "1-URGENT", F.lit("world_cup")).otherwise(F.lit("nations_league")).alias("kind"),
+    # every competition is in the catalog; one of them under a code that no match names
+    code = F.when(F.col("competition_id") == "5-LOW", F.lit("retired")).otherwise(F.col("competition_id"))
+    return t.matches.select("competition_id").distinct().select(
+        code.alias("competition_id"), F.when(F.col("competition_id") == "4-NOT SPECIFIED", F.lit("friendly")).when(F.col("competition_id") == "1-URGENT", F.lit("world_cup")).otherwise(F.lit("nations_league")).alias("kind"),
         F.when(F.col("competition_id") == "3-MEDIUM", F.lit("UEFA")).alias("confederation"))
 
 
 def stages(t: Tables):
     names = F.array(*[F.lit(s) for s in X.STAGES])
     leg = F.when(F.col("record_id") % 3 != 0, F.col("record_id") % 3)
-    return t.players.filter("match_id % 6 <> 1").select("match_id", "record_id", "available_at", "leakage_risk", leg.alias("leg_number"),
+    # some records name a match that does not exist, so that its own has none
+    match = F.when(F.col("match_id") % 6 == 1, -1 - F.col("match_id")).otherwise(F.col("match_id"))
+    return t.players.select(match.alias("match_id"), "record_id", "available_at", "leakage_risk", leg.alias("leg_number"),
                             F.element_at(names, (F.col("record_id") % 5 + 1).cast("int")).alias("stage"))
 
 
-@query("e7_competition_context", ctes("matches", "eligible", "players") + """, st AS (SELECT match_id, record_id, available_at, leakage_risk FROM players WHERE match_id % 6 <> 1),
+@query("e7_competition_context", ctes("matches", "eligible", "players") + """, st AS (SELECT CASE WHEN match_id % 6 = 1 THEN -1 - match_id ELSE match_id END AS match_id, record_id, available_at, leakage_risk FROM players),
    best AS (SELECT e.match_id, arg_max(s.record_id, (s.available_at, s.record_id)) AS rid FROM eligible e JOIN st s ON e.match_id = s.match_id AND s.leakage_risk = 'safe' AND s.available_at <= e.prediction_time GROUP BY e.match_id)
    SELECT e.match_id, CASE WHEN competition_id = '5-LOW' THEN NULL WHEN competition_id = '4-NOT SPECIFIED' THEN 1e0 ELSE 0e0 END AS friendly,
      CASE WHEN competition_id = '5-LOW' THEN NULL WHEN competition_id = '3-MEDIUM' THEN 1e0 ELSE 0e0 END AS confed,
@@ -165,7 +169,7 @@ def e7(t: Tables):
 # Fixtures of the events table: each purchase is a fixture whose cutoff is its own time.
 EVENT_FIX = ctes("observations") + """, fx AS (SELECT record_id AS match_id, team_id AS home_id, (team_id + 1 + record_id % 96) % 97 AS away_id, available_at AS prediction_time, record_id % 3 = 0 AS neutral,
      record_id % 40 AS venue_id FROM observations WHERE source = 'purchase'),
-   ob AS (SELECT * FROM observations WHERE source <> 'purchase' AND team_id NOT IN (13, 14)),
+   ob AS (SELECT * REPLACE (CASE WHEN team_id IN (13, 14) THEN -team_id ELSE team_id END AS team_id) FROM observations WHERE source <> 'purchase'),
    fs AS (SELECT match_id, 'home' AS side, home_id AS team_id, prediction_time FROM fx UNION ALL SELECT match_id, 'away', away_id, prediction_time FROM fx),
    best AS (SELECT f.match_id, f.side, arg_max(o.record_id, (o.available_at, o.record_id)) AS rid FROM fs f JOIN ob o ON f.team_id = o.team_id AND o.available_at <= f.prediction_time AND o.leakage_risk = 'safe' GROUP BY 1, 2),
    got AS (SELECT f.match_id, f.side, f.prediction_time, CASE WHEN f.prediction_time - o.available_at > INTERVAL 3 DAY THEN NULL ELSE o.record_id END AS rid, o.rank, o.points,
@@ -180,7 +184,8 @@ def event_fixtures(t: Tables):
 
 
 def event_observations(t: Tables):
-    return t.observations.filter("source <> 'purchase' AND team_id NOT IN (13, 14)")
+    # two teams' observations stand under ids that play no fixture
+    return t.observations.filter("source <> 'purchase'").withColumn("team_id", F.when(F.col("team_id").isin(13, 14), -F.col("team_id")).otherwise(F.col("team_id")))
 
 
 @query("e8_ranking_features", EVENT_FIX + """, p AS (SELECT h.match_id, CASE WHEN h.rid IS NOT NULL THEN h.rank END AS hr, CASE WHEN h.rid IS NOT NULL THEN h.points END AS hp, h.why AS hw, CASE WHEN a.rid IS NOT NULL THEN a.rank END AS ar,
@@ -207,7 +212,7 @@ def e9(t: Tables):
 
 # One market per team id; its cutoff lies some hours into January.
 MARKET_SQL = ctes("observations") + """, ctx AS (SELECT DISTINCT team_id AS match_id, TIMESTAMP '2024-01-01 06:00:00' + to_hours(team_id * 5) AS prediction_time FROM observations),
-   el AS (SELECT o.*, c.prediction_time, 1 / home_odds + 1 / draw_odds + 1 / away_odds AS tot FROM observations o JOIN ctx c ON o.team_id = c.match_id WHERE o.leakage_risk = 'safe' AND o.available_at <= c.prediction_time AND o.team_id % 9 <> 4),
+   el AS (SELECT o.*, c.prediction_time, 1 / home_odds + 1 / draw_odds + 1 / away_odds AS tot FROM observations o JOIN ctx c ON CASE WHEN o.team_id % 9 = 4 THEN -1 - o.team_id ELSE o.team_id END = c.match_id WHERE o.leakage_risk = 'safe' AND o.available_at <= c.prediction_time),
    lt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY team_id, source ORDER BY available_at DESC, record_id DESC) AS l, row_number() OVER (PARTITION BY team_id, source ORDER BY available_at, record_id) AS f FROM el) WHERE l = 1 OR f = 1),
    ag AS (SELECT team_id AS match_id, count(*) FILTER (WHERE l = 1) AS n, avg(tot - 1) FILTER (WHERE l = 1) AS ov, max((epoch_us(prediction_time) - epoch_us(available_at)) / 3600000000.0) FILTER (WHERE l = 1) AS age,
      avg(1 / home_odds / tot) FILTER (WHERE l = 1) AS lh, avg(1 / draw_odds / tot) FILTER (WHERE l = 1) AS ld, avg(1 / away_odds / tot) FILTER (WHERE l = 1) AS la,
@@ -220,7 +225,8 @@ def market_contexts(t: Tables):
 
 
 def market_odds(t: Tables):
-    return t.observations.withColumn("match_id", F.col("team_id")).filter("team_id % 9 <> 4")
+    # some markets' odds stand under ids without a context
+    return t.observations.withColumn("match_id", F.when(F.col("team_id") % 9 == 4, -1 - F.col("team_id")).otherwise(F.col("team_id")))
 
 
 @query("e10_market_consensus", MARKET_SQL + """ SELECT c.match_id, CAST(n AS DOUBLE) AS sources, round(ov, 6) + 0.0 AS overround, round(age, 6) + 0.0 AS age, round(lh, 6) + 0.0 AS home, round(ld, 6) + 0.0 AS draw, round(la, 6) + 0.0 AS away,

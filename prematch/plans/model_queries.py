@@ -207,10 +207,11 @@ def g7(t: Tables):
     return teams.select("team", r6("attack").alias("attack"), r6("defence").alias("defence"), F.round(F.lit(scalars["base"]), 6).alias("base"), F.round(F.lit(scalars["home"]), 6).alias("home"))
 
 
-# Two separated leagues: teams below and from 48 on never meet in this edge list.
-@query("g8_opponent_components", f"{M}, e AS (SELECT home_id AS a, away_id AS b FROM matches WHERE (home_id < 48) = (away_id < 48)), n AS (SELECT a AS node FROM e UNION SELECT b FROM e) SELECT node, CASE WHEN node < 48 THEN (SELECT min(node) FROM n) ELSE (SELECT min(node) FROM n WHERE node >= 48) END AS component FROM n")
+# Two separated leagues: a visitor from the other league plays under a number of its own (from 1000 on), so teams below and from 48 on never meet.
+@query("g8_opponent_components", f"{M}, e AS (SELECT home_id AS a, CASE WHEN (home_id < 48) = (away_id < 48) THEN away_id ELSE away_id + 1000 END AS b FROM matches), n AS (SELECT a AS node FROM e UNION SELECT b FROM e) SELECT node, CASE WHEN node < 48 OR node >= 1048 THEN (SELECT min(node) FROM n) ELSE (SELECT min(node) FROM n WHERE node >= 48 AND node < 1048) END AS component FROM n")
 def g8(t: Tables):
-    return O.opponent_components(t.matches.filter("(home_id < 48) = (away_id < 48)"))
+    visitor = F.when((F.col("home_id") < 48) == (F.col("away_id") < 48), F.col("away_id")).otherwise(F.col("away_id") + 1000)
+    return O.opponent_components(t.matches.withColumn("away_id", visitor))
 
 
 def pre_match(t: Tables):

@@ -11,9 +11,9 @@ from .bindings import Tables, ctes
 from .registry import query
 from .scalar_queries import DAY, SCOPE_SQL
 
-# Teams 0..49 are canonical ("Team 7"), 50..79 are aliases of team n - 50 ("Team 57"), the rest is unknown.
-CANON_SQL = "SELECT 'team ' || c_custkey AS k, c_custkey AS id FROM customer WHERE c_custkey < 50"
-ALIAS_SQL = "SELECT 'team ' || c_custkey AS k, c_custkey - 50 AS id FROM customer WHERE c_custkey >= 50 AND c_custkey < 80"
+# The results say "Team n": for n up to 49 that is a canonical name, for 50..79 an alias of team n - 50, for others unknown ("Club n", "Alias n").
+CANON_SQL = "SELECT CASE WHEN c_custkey < 50 THEN 'team ' ELSE 'club ' END || c_custkey AS k, c_custkey AS id FROM customer"
+ALIAS_SQL = "SELECT CASE WHEN c_custkey BETWEEN 50 AND 79 THEN 'team ' ELSE 'alias ' END || c_custkey AS k, CASE WHEN c_custkey BETWEEN 50 AND 79 THEN c_custkey - 50 ELSE c_custkey END AS id FROM customer"
 NORM = "lower(regexp_replace(trim({0}), '\\s+', ' ', 'g'))"
 RESOLVED = f"""{ctes("raw_results")}, canon AS ({CANON_SQL}), alias AS ({ALIAS_SQL}), res AS (SELECT r.*, {DAY} AS match_date,
    coalesce(hc.id, ha.id) AS home_id, CASE WHEN hc.id IS NOT NULL THEN 'canonical_name' WHEN ha.id IS NOT NULL THEN 'alias' END AS home_by,
@@ -38,9 +38,10 @@ DEDUPED = ROUTED + """, ranked AS (SELECT *, row_number() OVER w AS rn, first_va
 
 def catalogs(t: Tables):
     c = t.raw("customer")
-    team = F.concat(F.lit("Team "), F.col("c_custkey"))
-    canonical = c.filter("c_custkey < 50").select(team.alias("name"), F.col("c_custkey").alias("entity_id"))
-    aliases = c.filter("c_custkey >= 50 AND c_custkey < 80").select(team.alias("label"), (F.col("c_custkey") - 50).alias("entity_id"))
+    # the whole catalog: every customer has a name and an alias, and which of the two the results use depends on the id
+    key, other = F.col("c_custkey"), F.col("c_custkey").between(50, 79)
+    canonical = c.select(F.concat(F.when(key < 50, F.lit("Team ")).otherwise(F.lit("Club ")), key).alias("name"), key.alias("entity_id"))
+    aliases = c.select(F.concat(F.when(other, F.lit("Team ")).otherwise(F.lit("Alias ")), key).alias("label"), F.when(other, key - 50).otherwise(key).alias("entity_id"))
     return canonical, aliases
 
 

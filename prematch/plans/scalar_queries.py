@@ -133,9 +133,10 @@ def membership_docs(t: Tables):
 @query("a7_membership_scan", """SELECT CAST(s_suppkey % 97 AS VARCHAR) AS team_id, p AS confederation,
    CASE p WHEN 'UEFA' THEN '1990-01-01' ELSE CAST(CAST('1996-01-01' AS DATE) + CAST(s_suppkey AS INTEGER) * 7 AS VARCHAR) END AS valid_from,
    CASE p WHEN 'UEFA' THEN CAST(CAST('1996-01-01' AS DATE) + CAST(s_suppkey AS INTEGER) * 7 AS VARCHAR) END AS valid_to
-   FROM supplier, (VALUES ('UEFA'), ('AFC')) AS x(p) WHERE s_suppkey % 97 IN (SELECT c_custkey FROM customer WHERE c_custkey < 50)""")
+   FROM supplier, (VALUES ('UEFA'), ('AFC')) AS x(p) WHERE s_suppkey % 97 IN (SELECT CASE WHEN c_custkey < 50 THEN c_custkey ELSE -c_custkey END FROM customer)""")
 def a7(t: Tables):
-    known = t.raw("customer").filter("c_custkey < 50").select(F.col("c_custkey").cast("string").alias("team_id"))
+    # the whole catalog, most of it under ids that no release names
+    known = t.raw("customer").select(F.when(F.col("c_custkey") < 50, F.col("c_custkey")).otherwise(-F.col("c_custkey")).cast("string").alias("team_id"))
     periods = R.membership_periods(R.membership_releases(membership_docs(t), "doc", known))
     return periods.select("team_id", "confederation", F.col("valid_from").cast("string").alias("valid_from"),
                           F.col("valid_to").cast("string").alias("valid_to"))

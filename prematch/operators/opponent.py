@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
 from .history import team_rows
+from .passes import summed_vectors
 
 PENALTY = 5.0
-# pyspark.ml solves the normal equations on the driver up to this many columns
-MAX_COLUMNS = 4096
+TOLERANCE = 1e-7    # goals
+MAX_PASSES = 5000
 BOUNDS = {"base": (-5.0, 3.0), "home": (-2.0, 2.0), "team": (-3.0, 3.0)}
 
 
@@ -52,85 +55,101 @@ def pair_totals(train: DataFrame) -> DataFrame:
         F.count("*").cast("double").alias("n"), F.sum("goals_for").cast("double").alias("goals"))
 
 
-def fit_opponent_poisson(train: DataFrame, penalty: float = PENALTY, max_columns: int = MAX_COLUMNS) -> tuple[DataFrame, dict]:
-    """(team, attack, defence) and {base, home}: penalised joint fit on pair totals.
+def fit_opponent_poisson(train: DataFrame, penalty: float = PENALTY, tolerance: float = TOLERANCE, max_passes: int = MAX_PASSES) -> tuple[DataFrame, dict]:
+    """(team, attack, defence) and {base, home, passes}: penalised joint fit on pair totals.
 
-    Up to max_columns one-hot columns the generalised linear model of pyspark.ml does it; beyond, block
-    Newton steps on DataFrames, where each block separates by team.
+    Newton steps whose linear systems are solved by preconditioned conjugate gradients, at every size: slopes and curvature-vector
+    products are sums over the pair totals, one pass each, and only the coefficients (two per team) are on the driver. Ends when no slope of the
+    objective is over ``tolerance`` goals; raises if that takes more than ``max_passes`` passes. Effects are centred, which only moves the
+    base: the likelihood does not see a common shift. No rows: ValueError.
     """
-    ensure_checkpoint_dir(train.sparkSession)
-    pairs = pair_totals(train).checkpoint()
-    n_teams = pairs.select("attacker").distinct().count()
-    if 2 * n_teams + 1 <= max_columns:
-        return _fit_glm(pairs, penalty)
-    return _fit_blocks(pairs, penalty)
-
-
-def _fit_glm(pairs: DataFrame, penalty: float) -> tuple[DataFrame, dict]:
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-    from pyspark.ml.regression import GeneralizedLinearRegression
-
-    named = pairs.withColumn("att", F.col("attacker").cast("string")).withColumn("dfn", F.col("defender").cast("string"))
-    teams = named.select("att").distinct()
-    index = StringIndexer(inputCol="att", outputCol="ai", stringOrderType="alphabetAsc").fit(teams)
-    labels = index.labels
-    named = index.transform(named)
-    named = index.setInputCol("dfn").setOutputCol("di").transform(named)
-    encoder = OneHotEncoder(inputCols=["ai", "di"], outputCols=["av", "dv"], dropLast=False).fit(named)
-    ready = VectorAssembler(inputCols=["host", "av", "dv"], outputCol="features").transform(encoder.transform(named))
-    ready = ready.withColumn("label", F.col("goals") / F.col("n"))
-    total = pairs.agg(F.sum("goals")).first()[0]
-    glm = GeneralizedLinearRegression(family="poisson", link="log", regParam=penalty / total, weightCol="n", maxIter=100, tol=1e-10)
-    model = glm.fit(ready)
-    theta = model.coefficients.toArray()
-    k = len(labels)
-    att, dfn = theta[1:1 + k], theta[1 + k:1 + 2 * k]
-    rows = [(labels[i], float(att[i] - att.mean()), float(dfn[i] - dfn.mean())) for i in range(k)]
-    base = float(model.intercept + att.mean() + dfn.mean())
-    return pairs.sparkSession.createDataFrame(rows, "team STRING, attack DOUBLE, defence DOUBLE"), {"base": base, "home": float(theta[0])}
-
-
-def _fit_blocks(pairs: DataFrame, penalty: float, tolerance: float = 1e-7, max_rounds: int = 200) -> tuple[DataFrame, dict]:
-    named = pairs.withColumn("attacker", F.col("attacker").cast("string")).withColumn("defender", F.col("defender").cast("string"))
-    totals = named.agg(F.sum("goals").alias("g"), F.sum("n").alias("n")).first()
-    base, home = math.log(totals["g"] / totals["n"]), 0.0
-    att = named.select(F.col("attacker").alias("team"), F.lit(0.0).alias("v")).distinct().checkpoint()
-    dfn = named.select(F.col("defender").alias("team"), F.lit(0.0).alias("v")).distinct().checkpoint()
-
-    def rated(a: DataFrame, d: DataFrame) -> DataFrame:
-        j = named.join(a.select(F.col("team").alias("attacker"), F.col("v").alias("a")), "attacker").join(
-            d.select(F.col("team").alias("defender"), F.col("v").alias("d")), "defender")
-        return j.withColumn("mu", F.col("n") * F.exp(F.lit(base) + F.col("a") + F.col("d") + F.lit(home) * F.col("host")))
-
-    def block(key: str, value: str) -> DataFrame:
-        g = rated(att, dfn).groupBy(F.col(key).alias("team"), F.col(value).alias("v")).agg(F.sum("mu").alias("mu"), F.sum("goals").alias("y"))
-        step = (F.col("mu") - F.col("y") + penalty * F.col("v")) / (F.col("mu") + penalty)
-        return g.select("team", (F.col("v") - step).alias("v"), F.abs(step).alias("s")).checkpoint()
-
-    def centred(table: DataFrame) -> tuple[DataFrame, float, float]:
-        # the likelihood does not see a common shift, so moving it into the base is free and speeds the descent
-        top, mean = table.agg(F.max("s"), F.avg("v")).first()
-        return table.select("team", (F.col("v") - mean).alias("v")), top, mean
-
-    for _ in range(max_rounds):
-        att, moved, mean = centred(block("attacker", "a"))
-        base += mean
-        dfn, also, mean = centred(block("defender", "d"))
-        base, moved = base + mean, max(moved, also)
-        r = rated(att, dfn).agg(F.sum("mu").alias("m"), F.sum("goals").alias("y"), F.sum(F.col("mu") * F.col("host")).alias("mh"),
-                                F.sum(F.col("goals") * F.col("host")).alias("yh")).first()
-        # 2x2 Newton step for the unpenalised base and the penalised home effect
-        g0, g1 = r["m"] - r["y"], r["mh"] - r["yh"] + penalty * home
-        h00, h01, h11 = r["m"], r["mh"], r["mh"] + penalty
-        det = h00 * h11 - h01 * h01
-        s0, s1 = (h11 * g0 - h01 * g1) / det, (h00 * g1 - h01 * g0) / det
-        base, home = base - s0, home - s1
-        if max(moved, abs(s0), abs(s1)) < tolerance:
-            break
-    means = att.agg(F.avg("v")).first()[0], dfn.agg(F.avg("v")).first()[0]
-    out = att.withColumnRenamed("v", "attack").join(dfn.withColumnRenamed("v", "defence"), "team")
-    out = out.select("team", (F.col("attack") - means[0]).alias("attack"), (F.col("defence") - means[1]).alias("defence"))
-    return out, {"base": base + sum(means), "home": home}
+    spark = train.sparkSession
+    ensure_checkpoint_dir(spark)
+    totals = pair_totals(train).checkpoint()
+    teams = sorted(r[0] for r in totals.select(F.explode(F.array("attacker", "defender"))).distinct().collect())
+    if not teams:
+        raise ValueError("The goal model needs at least one match.")
+    k = len(teams)
+    index = spark.createDataFrame(list(enumerate(teams)), T.StructType([T.StructField("i", T.IntegerType()), T.StructField("team", totals.schema["attacker"].dataType)]))
+    pairs = totals.join(index.withColumnsRenamed({"i": "a", "team": "attacker"}), "attacker").join(index.withColumnsRenamed({"i": "d", "team": "defender"}), "defender")
+    pairs = pairs.select("a", "d", "host", "n", "goals").checkpoint()
+    ridge = np.concatenate(([0.0], np.full(2 * k + 1, penalty)))  # base, home, attacks, defences
+    spent = 0
+
+    def one_pass(work):
+        nonlocal spent
+        spent += 1
+        if spent > max_passes:
+            raise ValueError(f"The goal model has not settled after {max_passes} passes.")
+        return summed_vectors(pairs, work, 1)[0]
+
+    def columns(batch):
+        return tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "d", "host", "n", "goals"))
+
+    def per_coefficient(v, a, d, host):
+        return np.concatenate(([v.sum(), (v * host).sum()], np.bincount(a, v, k), np.bincount(d, v, k)))
+
+    def expected(theta, a, d, host, n):
+        return n * np.exp(theta[0] + theta[1] * host + theta[2:2 + k][a] + theta[2 + k:][d])
+
+    def state(theta):
+        def work(batch):
+            a, d, host, n, goals = columns(batch)
+            mu = expected(theta, a, d, host, n)
+            yield 0, np.concatenate(([(mu - goals * np.log(np.maximum(mu / n, 1e-300))).sum()], per_coefficient(mu - goals, a, d, host), per_coefficient(mu, a, d, host)))
+        v = one_pass(work)
+        curve = v[3 + 2 * k:] + ridge
+        curve[1] = max(curve[1], 1e-12)
+        return v[0] + 0.5 * (ridge * theta ** 2).sum(), v[1:3 + 2 * k] + ridge * theta, curve
+
+    def curved(theta, p):
+        def work(batch):
+            a, d, host, n, _ = columns(batch)
+            yield 0, per_coefficient(expected(theta, a, d, host, n) * (p[0] + p[1] * host + p[2:2 + k][a] + p[2 + k:][d]), a, d, host)
+        return one_pass(work) + ridge * p
+
+    def newton_step(theta, slope, curve):
+        step, rest = np.zeros_like(slope), slope.copy()
+        z = rest / curve
+        p, rz = z.copy(), rest @ z
+        wanted = min(0.1, np.sqrt(np.abs(slope).max() / (1 + goals_in_all))) * np.sqrt(slope @ (slope / curve))
+        while np.sqrt(rz) > wanted:
+            hp = curved(theta, p)
+            size = rz / (p @ hp)
+            step, rest = step + size * p, rest - size * hp
+            z = rest / curve
+            p, rz = z + (rest @ z) / rz * p, rest @ z
+        return step
+
+    sums = totals.agg(F.sum("goals").alias("g"), F.sum("n").alias("n")).first()
+    goals_in_all = sums["g"]
+    theta = np.zeros(2 + 2 * k)
+    theta[0] = math.log(max(sums["g"], 0.5) / sums["n"])
+    loss, slope, curve = state(theta)
+    while np.abs(slope).max() > tolerance:
+        step = newton_step(theta, slope, curve)
+        while True:
+            new = state(theta - step)
+            if new[0] <= loss + 1e-9 * (1 + abs(loss)):
+                break
+            step = step / 2
+        theta = theta - step
+        loss, slope, curve = new
+    attack, defence = theta[2:2 + k], theta[2 + k:]
+    base = float(theta[0] + attack.mean() + defence.mean())
+    rows = [(str(t), float(x), float(y)) for t, x, y in zip(teams, attack - attack.mean(), defence - defence.mean())]
+    return spark.createDataFrame(rows, "team STRING, attack DOUBLE, defence DOUBLE"), {"base": base, "home": float(theta[1]), "passes": spent}
+
+
+def goal_model_slopes(train: DataFrame, teams: DataFrame, scalars: dict, penalty: float = PENALTY) -> DataFrame:
+    """(coefficient, slope) of the penalised objective at a fitted model: 0 everywhere at its minimum."""
+    named = pair_totals(train).withColumns({c: F.col(c).cast("string") for c in ("attacker", "defender")})
+    rows = named.join(teams.select(F.col("team").alias("attacker"), F.col("attack").alias("a")), "attacker").join(teams.select(F.col("team").alias("defender"), F.col("defence").alias("d")), "defender")
+    over = F.col("n") * F.exp(F.lit(scalars["base"]) + F.col("a") + F.col("d") + F.lit(scalars["home"]) * F.col("host")) - F.col("goals")
+    part = lambda name, value, v: F.struct(name.alias("coefficient"), value.alias("value"), v.alias("v"))
+    parts = F.array(part(F.lit("base"), F.lit(0.0), over), part(F.lit("home"), F.lit(float(scalars["home"])), over * F.col("host")),
+                    part(F.concat(F.lit("attack:"), "attacker"), F.col("a"), over), part(F.concat(F.lit("defence:"), "defender"), F.col("d"), over))
+    return rows.select(F.inline(parts)).groupBy("coefficient").agg((F.sum("v") + F.lit(penalty) * F.first("value")).alias("slope"))
 
 
 def beyond_bounds(teams: DataFrame, scalars: dict) -> DataFrame:

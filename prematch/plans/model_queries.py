@@ -207,6 +207,14 @@ def g7(t: Tables):
     return teams.select("team", r6("attack").alias("attack"), r6("defence").alias("defence"), F.round(F.lit(scalars["base"]), 6).alias("base"), F.round(F.lit(scalars["home"]), 6).alias("home"))
 
 
+# Every coefficient of the fitted goal model must be where its own slope is 0.
+@query("g7_opponent_slopes", f"""{M}, tr AS (SELECT * FROM matches WHERE {DONE} AND match_date < DATE '2000-01-01'), t AS (SELECT home_id AS t FROM tr UNION SELECT away_id FROM tr)
+   SELECT 'base' AS coefficient, 0e0 AS slope UNION ALL SELECT 'home', 0e0 UNION ALL SELECT 'attack:' || t, 0e0 FROM t UNION ALL SELECT 'defence:' || t, 0e0 FROM t""")
+def g7_slopes(t: Tables):
+    teams, scalars = O.fit_opponent_poisson(train(t))
+    return O.goal_model_slopes(train(t), teams, scalars).select("coefficient", (F.round("slope", 5) + F.lit(0.0)).alias("slope"))
+
+
 # Two separated leagues: a visitor from the other league plays under a number of its own (from 1000 on), so teams below and from 48 on never meet.
 @query("g8_opponent_components", f"{M}, e AS (SELECT home_id AS a, CASE WHEN (home_id < 48) = (away_id < 48) THEN away_id ELSE away_id + 1000 END AS b FROM matches), n AS (SELECT a AS node FROM e UNION SELECT b FROM e) SELECT node, CASE WHEN node < 48 OR node >= 1048 THEN (SELECT min(node) FROM n) ELSE (SELECT min(node) FROM n WHERE node >= 48 AND node < 1048) END AS component FROM n")
 def g8(t: Tables):

@@ -49,16 +49,30 @@ def newton(rows, penalty=5.0, n=6):
     return theta[0] + att.mean() + dfn.mean(), theta[1], att - att.mean(), dfn - dfn.mean()
 
 
-@pytest.mark.parametrize("columns", [4096, 3])
-def test_joint_goal_model_equals_newton(spark, goals, columns):
+def test_joint_goal_model_equals_newton(spark, goals):
     df = spark.createDataFrame(goals, "match_id LONG, home_id INT, away_id INT, home_score INT, away_score INT, neutral BOOLEAN")
-    teams, scalars = O.fit_opponent_poisson(df, max_columns=columns)
+    teams, scalars = O.fit_opponent_poisson(df)
     base, home, att, dfn = newton(goals)
     assert scalars["base"] == pytest.approx(base, abs=1e-5) and scalars["home"] == pytest.approx(home, abs=1e-5)
     got = {int(r["team"]): (r["attack"], r["defence"]) for r in teams.collect()}
     for i in range(6):
         assert got[i] == pytest.approx((att[i], dfn[i]), abs=1e-5)
     assert O.beyond_bounds(teams, scalars).count() == 0
+    assert all(abs(r["slope"]) < 1e-6 for r in O.goal_model_slopes(df, teams, scalars).collect())
+    with pytest.raises(ValueError, match="not settled"):
+        O.fit_opponent_poisson(df, max_passes=3)
+    with pytest.raises(ValueError, match="at least one"):
+        O.fit_opponent_poisson(df.limit(0))
+
+
+def test_joint_goal_model_on_a_chain_and_separate_leagues(spark):
+    """Teams that meet only their neighbours, one that never scores, and a league apart: where descent by blocks crawls."""
+    rng = np.random.default_rng(4)
+    pairs = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102)]
+    rows = [(n, h, a, 0 if h == 7 else int(rng.poisson(1.6)), int(rng.poisson(1.1)), n % 3 == 0) for n, (h, a) in enumerate(pairs * 3)]
+    df = spark.createDataFrame(rows, "match_id LONG, home_id INT, away_id INT, home_score INT, away_score INT, neutral BOOLEAN")
+    teams, scalars = O.fit_opponent_poisson(df, penalty=0.01)
+    assert teams.count() == 44 and all(abs(r["slope"]) < 1e-6 for r in O.goal_model_slopes(df, teams, scalars, 0.01).collect())
 
 
 def test_components_of_paths_rings_and_stars(spark):

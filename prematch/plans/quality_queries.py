@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import ids
@@ -171,3 +174,22 @@ def c10(t: Tables):
         "self_play": F.col("home_id") == F.col("away_id"), "low_odds": F.col("home_odds") <= 1.2,
         "probability_sum": F.abs(sum(P.triple()[1:], P.triple()[0]) - 1) > 1e-9, "outcome_missing": F.col("actual").isNull(),
         "too_early": F.col("prediction_time") < F.lit("1995-06-01").cast("timestamp")})
+
+
+# The three outputs of the normalisation, published as one release and read back from it.
+@query("a12_export_roundtrip", DEDUPED + """, o AS (SELECT unnest(['normalized', 'excluded', 'quarantined']) AS output)
+   SELECT o.output, count(final.row_no) AS rows, TRUE AS equal FROM o LEFT JOIN final ON final.decision = o.output GROUP BY o.output""")
+def a12(t: Tables):
+    from ..session import ensure_checkpoint_dir
+    from ..sources import publish
+
+    ensure_checkpoint_dir(t.spark)
+    root = f"{t.spark.sparkContext.getCheckpointDir()}/exports-{uuid.uuid4().hex}"
+    parts = E.split_dispositions(final(t).checkpoint())
+    release = publish.publish(parts, root, "normalization")
+    schemas = {name: df.schema for name, df in parts.items()}
+    back = publish.read_release(t.spark, root, schemas, release, verify=True)
+    sides = [df.agg(F.count("*").alias("rows"), publish.fingerprint(df).alias("f")).select(F.lit(name).alias("output"), F.lit(side).alias("side"), "rows", "f")
+             for side, tables in (("before", parts), ("after", back)) for name, df in tables.items()]
+    both = reduce(lambda a, b: a.unionByName(b), sides)
+    return both.groupBy("output").agg(F.max(F.when(F.col("side") == "after", F.col("rows"))).alias("rows"), (F.count_distinct("f") == 1).alias("equal"))

@@ -168,14 +168,11 @@ def covered_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     wanted = stored(passages.join(several.hint("merge"), "anchor").select("first.doc", "first.rid", F.struct("anchor", "passage", F.col("first.start").alias("start"), "n", (F.col("words") > HOT_WORDS).alias("hot")).alias("run")))
     sums = wanted.agg(F.sum(F.col("run.n") + (window - 1)).alias("words"), F.sum(F.when(F.col("run.hot"), F.col("run.n") * window)).alias("hot")).first()
     per_doc = wanted.groupBy("doc", "rid").agg(F.collect_list("run").alias("wanted"))  # as long as the text at most
-    found = _passages(docs.join(per_doc.hint("shuffle_hash"), ["doc", "rid"]), window)
-    every, out = found.select("anchor", "doc", "rid", "start", "words"), later
-    if sums["hot"]:
-        found = stored(found)
-        hot = found.filter("hot").groupBy("anchor", "passage").agg(F.min(F.struct("doc", "start", "rid")).alias("first"), F.first("words").alias("words"))
-        hot_later = found.filter("hot").join(hot.select("anchor", "first"), "anchor").filter((F.col("doc") > F.col("first.doc")) | ((F.col("doc") == F.col("first.doc")) & (F.col("start") > F.col("first.start"))))
-        out = out.unionByName(hot_later.select("doc", "rid", F.col("start").cast("long").alias("start"), (F.col("start") + window).cast("long").alias("stop")))
-        every = found.filter("NOT hot").select("anchor", "doc", "rid", "start", "words").unionByName(hot.select("anchor", "first.doc", "first.rid", "first.start", "words"))
+    found = stored(_passages(docs.join(per_doc.hint("shuffle_hash"), ["doc", "rid"]), window), compression="zstd")
+    hot = found.filter("hot").groupBy("anchor", "passage").agg(F.min(F.struct("doc", "start", "rid")).alias("first"), F.first("words").alias("words"))
+    hot_later = found.filter("hot").join(hot.select("anchor", "first").hint("merge"), "anchor").filter((F.col("doc") > F.col("first.doc")) | ((F.col("doc") == F.col("first.doc")) & (F.col("start") > F.col("first.start"))))
+    out = later.unionByName(hot_later.select("doc", "rid", F.col("start").cast("long").alias("start"), (F.col("start") + window).cast("long").alias("stop")))
+    every = found.filter("NOT hot").select("anchor", "doc", "rid", "start", "words").unionByName(hot.select("anchor", "first.doc", "first.rid", "first.start", "words"))
     shards = int(((sums["words"] or 0) + (sums["hot"] or 0)) // SHARD_WORDS) + 1
     searched = (every.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int")).groupBy("shard")
                 .applyInPandas(lambda frame: search_shard(frame, window), "doc long, rid long, start long, stop long"))
@@ -204,7 +201,6 @@ def kept_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     no whole numbers are compared by their own order, strings by their bytes. No rows: no rows.
     """
     text_batches(docs.sparkSession)
-    # both joins with the texts are in one plan and take the same columns, so the texts are shuffled once
     whole = isinstance(docs.schema["doc_id"].dataType, T.IntegralType)
     keyed = _with_keys(docs.select("doc_id", "text")).select("doc", "rid", "text", *([] if whole else ["doc_id"]))
     gone = covered_words(keyed, window).groupBy("doc", "rid").agg(F.collect_set(F.struct("start", "stop")).alias("gone"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.common import r6
@@ -147,23 +149,36 @@ def j10(t: Tables):
 
 # ---- whole jobs ------------------------------------------------------------------------------------
 
+# The backtest fits six boosted models and six forests; with the declared 250 rounds and 400 trees each it takes many minutes on one machine.
+BACKTEST_BOOSTING = {"maxIter": 5, "maxDepth": 3}
+BACKTEST_FOREST = {"numTrees": 20, "maxDepth": 6}
+
+
 @query("g18_forecast_bundle")
 def g18(t: Tables):
-    bundle = research.train_bundle(t.eligible, "2000-01-01", holdout_days=180)
+    bundle = research.train_bundle(t.eligible, "2000-01-01", holdout_days=180, boosting=BACKTEST_BOOSTING)
     return bundle.describe(t.spark)
 
 
 @query("g19_forecast_job")
 def g19(t: Tables):
-    bundle = research.train_bundle(t.eligible, "2000-01-01", holdout_days=180)
+    bundle = research.train_bundle(t.eligible, "2000-01-01", holdout_days=180, boosting=BACKTEST_BOOSTING)
     fixtures = t.eligible.filter("status = 'scheduled' AND match_date >= DATE '2000-01-02'")
     out = research.forecast(bundle, t.eligible, fixtures)
     return out.select("match_id", *[r6(f"e_{s}").alias(f"e_{s}") for s in ("home", "draw", "away")], "ensemble_confidence", F.size("missing_features").alias("missing"), r6("history_age_days").alias("history_age_days"))
 
 
-# The backtest fits six boosted models and six forests; with the declared 250 rounds and 400 trees each it takes many minutes on one machine.
-BACKTEST_BOOSTING = {"maxIter": 5, "maxDepth": 3}
-BACKTEST_FOREST = {"numTrees": 20, "maxDepth": 6}
+# Forecasts of a bundle that was saved and loaded again must equal those made before, for every fixture.
+@query("g18_bundle_reload", f"""{ctes("matches", "eligible")} SELECT match_id, TRUE AS equal FROM eligible WHERE status = 'scheduled' AND match_date >= DATE '2000-01-02'""")
+def g18_reload(t: Tables):
+    bundle = research.train_bundle(t.eligible, "2000-01-01", holdout_days=180, boosting=BACKTEST_BOOSTING)
+    fixtures = t.eligible.filter("status = 'scheduled' AND match_date >= DATE '2000-01-02'")
+    root = f"{t.spark.sparkContext.getCheckpointDir()}/bundles-{uuid.uuid4().hex}"
+    again = research.load_bundle(t.spark, root, research.save_bundle(bundle, root))
+    sides = [research.forecast(b, t.eligible, fixtures).select("match_id", F.struct("e_home", "e_draw", "e_away").alias(n)) for b, n in ((bundle, "before"), (again, "after"))]
+    return sides[0].join(sides[1], "match_id").select("match_id", (F.col("before") == F.col("after")).alias("equal"))
+
+
 # A cutoff on every New Year that the results reach; the window after the last one is cut short by the end of the data.
 CUTOFFS = [f"{year}-01-01" for year in range(1996, 2002)]
 
@@ -212,5 +227,5 @@ def h20(t: Tables):
 
 @query("j11_scheduled_forecasts")
 def j11(t: Tables):
-    ledger, _ = research.scheduled_forecasts(t.eligible, "2000-01-01T00:00:00Z", "2000-03-31", "m1")
+    ledger, _ = research.scheduled_forecasts(t.eligible, "2000-01-01T00:00:00Z", "2000-03-31", "m1", boosting=BACKTEST_BOOSTING)
     return ledger.select("fixture_id", "model_id", "predicted_outcome", r6("model_confidence").alias("model_confidence"), "status")

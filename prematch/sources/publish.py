@@ -59,8 +59,8 @@ def releases(spark: SparkSession, root: str, kind: str | None = None) -> DataFra
     return whole if kind is None else whole.filter(F.col("kind") == kind)
 
 
-def read_release(spark: SparkSession, root: str, schemas: dict[str, str], release: str | None = None, kind: str | None = None, verify: bool = False) -> dict[str, DataFrame]:
-    """The tables of a release, the newest if none is named. verify: recompute counts and fingerprints, raise where they differ."""
+def read_release(spark: SparkSession, root: str, schemas: dict[str, str] | None = None, release: str | None = None, kind: str | None = None, verify: bool = False) -> dict[str, DataFrame]:
+    """The tables of a release, the newest if none is named. JSON tables need their schema, Parquet files bring their own. verify: recompute counts and fingerprints, raise where they differ."""
     known = releases(spark, root, kind)
     if release is None:
         newest = known.agg(F.max(F.struct("published_at", "release_id"))["release_id"]).first()[0]
@@ -69,7 +69,7 @@ def read_release(spark: SparkSession, root: str, schemas: dict[str, str], releas
         release = newest
     out = {}
     for r in known.filter(F.col("release_id") == release).collect():  # one row per table
-        df = spark.read.schema(schemas[r["table_name"]])
+        df = spark.read.schema(schemas[r["table_name"]]) if schemas else spark.read
         df = df.parquet(r["location"]) if r["format"] == "parquet" else df.json(r["location"])
         if verify and df.agg(fingerprint(df)).first()[0] != r["fingerprint"]:
             raise ValueError(f"{r['table_name']} of release {release} is not what was published.")

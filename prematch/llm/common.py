@@ -52,6 +52,14 @@ def small_side(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have, for a helper beside the user's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_batches(spark: SparkSession, rows: int = 256) -> None:
     """Hand texts to Python in small batches, so that very long ones fit a worker's memory together."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)

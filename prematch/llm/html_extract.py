@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boosting import Boosted
-from .common import read_table, text_batches
+from .common import free_name, read_table, text_batches
 from .html_dom import BAD_TAGS, BAD_TOKENS, FEATURES, GOOD_TAGS, GOOD_TOKENS, Dom
 
 SAMPLE_PAGES = 240    # pages to learn from, expected
@@ -166,8 +166,9 @@ def extract(pages: DataFrame, model: Boosted | None) -> DataFrame:
             yield pd.Series(["\n".join(line for e, line in d.blocks if keep[e] and e) for d, keep in zip(doms, verdicts, strict=True)])
 
     added = ("text", "n_chars")
-    rows = pages.withColumn("hx_", main_text("html"))
-    return rows.select(*[c for c in pages.columns if c not in added], F.col("hx_").alias("text"), F.length("hx_").cast("long").alias("n_chars"))
+    name = free_name(pages, "main_text")
+    rows = pages.withColumn(name, main_text("html"))
+    return rows.select(*[c for c in pages.columns if c not in added], F.col(name).alias("text"), F.length(name).cast("long").alias("n_chars"))
 
 
 def op4_html_extract(spark: SparkSession, folder: str) -> DataFrame:

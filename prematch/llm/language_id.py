@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, text_batches
+from .common import free_name, read_table, text_batches
 
 # Families of language codes; a code that is not listed is a family of its own.
 FAMILIES = {
@@ -165,8 +165,9 @@ def identify(docs: DataFrame, model: dict | None) -> DataFrame:
         for batch in texts:
             yield pd.DataFrame([predict(model, features(t)) if has_letter(t) else (UNKNOWN, 0.0) for t in batch], columns=["lang_pred", "score"])
 
-    rows = docs.drop("lang_pred", "score").withColumn("lid_", judged("text"))
-    return rows.select(*[c for c in rows.columns if c != "lid_"], "lid_.lang_pred", "lid_.score")
+    name = free_name(docs, "judged")
+    rows = docs.drop("lang_pred", "score").withColumn(name, judged("text"))
+    return rows.select(*[c for c in rows.columns if c != name], f"{name}.lang_pred", f"{name}.score")
 
 
 def keep_identified(docs: DataFrame, model: dict | None, least: float = LEAST_SCORE) -> DataFrame:

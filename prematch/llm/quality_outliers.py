@@ -154,9 +154,13 @@ def judge(docs: DataFrame) -> DataFrame:
     """
     added = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "d2", "kept", "grp", *[f"x{i}" for i in range(P)]]
     keep = [c for c in docs.columns if c not in added and c != "text"]
-    stats = base_statistics(docs)
+    # whatever else the user's rows hold travels in one struct, so no name of theirs meets a helper's
+    extras = [c for c in keep if c not in ("lang", "source")]
+    carried = ["lang", "source", *(["user_columns"] if extras else [])]
+    packed = [F.struct(*[F.col(f"`{c}`") for c in extras]).alias("user_columns")] if extras else []
+    stats = base_statistics(docs.select("text", "lang", "source", *packed))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    stats = written(stats.select(*keep, *added[:6], failed.alias("base_failed"), *statistic_vector()))
+    stats = written(stats.select(*carried, *added[:6], failed.alias("base_failed"), *statistic_vector()))
     passed = stats.filter(~F.col("base_failed")).select("lang", "source", *[f"x{i}" for i in range(P)])
     groups = small_side(written(groups_of(passed)).select(F.col("lang").alias("q_lang"), F.col("source").alias("q_source"), "grp"), GROUP_ROWS)
 
@@ -169,7 +173,7 @@ def judge(docs: DataFrame) -> DataFrame:
         estimate = small_side(written(concentrate(passed, estimate)), GROUP_ROWS)
     judged = with_distance(grouped(stats), estimate)
     kept = ~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= CUTOFF)
-    return judged.select(*keep, *added[:7], "d2", kept.alias("kept"))
+    return judged.select(*[F.col(f"user_columns.`{c}`") if c in extras else F.col(c) for c in keep], *added[:7], "d2", kept.alias("kept"))
 
 
 def op7_quality_outliers(spark: SparkSession, folder: str) -> DataFrame:

@@ -101,14 +101,31 @@ def j6(t: Tables):
     return out.select("match_id", "status", "forecast_id", r6("p_home").alias("p_home"), "actual", "diagnosed")
 
 
-@query("j7_snapshot_listing", CURRENT + """, c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kind, entity_id ORDER BY recorded_at DESC, sequence DESC) AS r2 FROM vis WHERE kind = 'forecast' AND sequence <= 120000000000) WHERE r2 = 1),
+LISTING_SQL = CURRENT + """, c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kind, entity_id ORDER BY recorded_at DESC, sequence DESC) AS r2 FROM vis WHERE kind = 'forecast' AND sequence <= 120000000000) WHERE r2 = 1),
    p AS (SELECT entity_id, sequence, row_number() OVER (ORDER BY entity_id) AS n, count(*) OVER () AS total FROM c WHERE entity_id > 250)
-   SELECT entity_id, sequence, total > 40 AS truncated, CASE WHEN total > 40 THEN (SELECT entity_id FROM p WHERE n = 40) END AS next_cursor FROM p WHERE n <= 40""")
+   SELECT entity_id, sequence, total > 40 AS truncated, CASE WHEN total > 40 THEN (SELECT entity_id FROM p WHERE n = 40) END AS next_cursor FROM p WHERE n <= 40"""
+
+
+@query("j7_snapshot_listing", LISTING_SQL)
 def j7(t: Tables):
     current = T.latest_as_of(t.records, AS_OF, 120000000000, "forecast")
     return T.page(current, 40, 250).select("entity_id", "sequence", "truncated", "next_cursor")
 
 
+# The same page from a frozen copy of the listing, of which it opens the parts it needs.
+@query("j7_frozen_listing", LISTING_SQL)
+def j7_frozen(t: Tables):
+    from ..session import ensure_checkpoint_dir
+    from ..sources import frozen
+
+    ensure_checkpoint_dir(t.spark)
+    path = f"{t.spark.sparkContext.getCheckpointDir()}/listing-{uuid.uuid4().hex}"
+    frozen.freeze(research.written(T.latest_as_of(t.records, AS_OF, 120000000000, "forecast")), path, ["entity_id"])
+    rows = frozen.page_rows(t.spark, path, ["entity_id"], 40, (250,))
+    listing = t.records.limit(0).withColumns({"truncated": F.lit(False), "next_cursor": F.col("entity_id")}) if rows is None else T.page(rows, 40, 250)
+    return listing.select("entity_id", "sequence", "truncated", "next_cursor")
+
+
 # Per part: its current 'match' record is the model, 'forecast' the metrics; the release names the first revisions it saw.
 GATE_SQL = CURRENT + """, mo AS (SELECT entity_id, sequence, available_at FROM cur WHERE kind = 'match'), me AS (SELECT entity_id, sequence FROM cur WHERE kind = 'forecast'),
    rl AS (SELECT c.entity_id, (SELECT arg_min(sequence, (recorded_at, sequence)) FROM vis v WHERE v.kind = 'match' AND v.entity_id = c.entity_id) AS rm, (SELECT arg_min(sequence, (recorded_at, sequence)) FROM vis v WHERE v.kind = 'forecast' AND v.entity_id = c.entity_id) AS re FROM cur c WHERE kind = 'odds')"""

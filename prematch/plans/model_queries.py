@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import probability as P
 from ..functions.common import r6
 from ..operators import baselines as B
+from ..operators import boosted_trees
 from ..operators import classifiers as C
 from ..operators import opponent as O
 from ..operators import ratings as R
@@ -248,7 +249,28 @@ def g9(t: Tables):
 @query("g10_boosted_trees")
 def g10(t: Tables):
     tr, te = _split(t)
-    return shares(C.fit_boosting(tr, R.PRE_MATCH_COLUMNS, "outcome", maxIter=5, maxDepth=3).score(te), "match_id")
+    return shares(C.fit_boosting(tr, R.PRE_MATCH_COLUMNS, "outcome").score(te), "match_id")
+
+
+# Gains of every split that the first trees may start with. At the start all rows of a class have one probability, so sums of gradients follow from counts.
+FIRST_FEATURES = ["home_id", "away_id", "day", "hour", "neutral"]
+
+
+@query("g10_first_gains", f"""{M}, r AS (SELECT CASE WHEN home_score > away_score THEN 'home_win' WHEN home_score = away_score THEN 'draw' ELSE 'away_win' END AS target, CAST(home_id AS DOUBLE) AS home_id, CAST(away_id AS DOUBLE) AS away_id,
+     CAST(date_diff('day', DATE '1970-01-01', match_date) AS DOUBLE) AS day, CAST(hour(kickoff_at) AS DOUBLE) AS hour, CASE WHEN neutral THEN 1e0 ELSE 0e0 END AS neutral FROM matches WHERE {DONE}),
+   x AS ({" UNION ALL ".join(f"SELECT target, '{f}' AS feature, {f} AS v FROM r" for f in FIRST_FEATURES)}),
+   c AS (SELECT feature, v, count(*) FILTER (WHERE target = 'home_win') AS home_win, count(*) FILTER (WHERE target = 'draw') AS draw, count(*) FILTER (WHERE target = 'away_win') AS away_win FROM x GROUP BY feature, v),
+   e AS (SELECT DISTINCT feature, unnest(quantile_cont(v, [{", ".join(f"{i}e0 / 64" for i in range(1, 64))}])) AS threshold FROM x GROUP BY feature),
+   l AS (SELECT e.feature, e.threshold, sum(home_win) AS home_win, sum(draw) AS draw, sum(away_win) AS away_win FROM e JOIN c ON c.feature = e.feature AND (c.v IS NULL OR c.v <= e.threshold) GROUP BY e.feature, e.threshold),
+   k AS (SELECT feature, threshold, home_win + draw + away_win AS n_left, unnest(['home_win', 'draw', 'away_win']) AS outcome, unnest([home_win, draw, away_win]) AS y_left FROM l),
+   w AS (SELECT target AS outcome, count(*) AS y, (SELECT count(*) FROM r) AS n FROM r GROUP BY target),
+   u AS (SELECT outcome, y, n, round((1e0 * y / n) * 1048576) / 1048576 AS zero, round((1e0 * y / n - 1) * 1048576) / 1048576 AS one, round((1e0 * y / n) * (1 - 1e0 * y / n) * 1048576) / 1048576 AS h FROM w),
+   g AS (SELECT k.outcome, feature, threshold, n_left, n, h * n_left + 0.05e0 AS hl, h * (n - n_left) + 0.05e0 AS hr, h * n + 0.05e0 AS ht, one * y_left + zero * (n_left - y_left) AS gl, one * y + zero * (n - y) AS gt FROM k JOIN u ON u.outcome = k.outcome)
+   SELECT outcome, feature, round(threshold, 6) + 0.0 AS threshold, CAST(n_left AS BIGINT) AS n_left, round(gl * gl / hl + (gt - gl) * (gt - gl) / hr - gt * gt / ht, 6) + 0.0 AS gain FROM g WHERE n_left >= 20 AND n - n_left >= 20""")
+def g10_gains(t: Tables):
+    rows = t.matches.filter(DONE).select(P.outcome_label("home_score", "away_score").alias("target"), "home_id", "away_id", F.unix_date("match_date").alias("day"), F.hour("kickoff_at").alias("hour"), F.col("neutral").cast("int").alias("neutral"))
+    out = boosted_trees.first_gains(rows, FIRST_FEATURES, "target")
+    return out.select("outcome", "feature", F.round("threshold", 6).alias("threshold"), "n_left", (F.round("gain", 6) + F.lit(0.0)).alias("gain"))
 
 
 @query("g11_random_forest")

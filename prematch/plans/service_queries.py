@@ -167,7 +167,7 @@ def j10(t: Tables):
 # ---- whole jobs ------------------------------------------------------------------------------------
 
 # The backtest fits six boosted models and six forests; with the declared 250 rounds and 400 trees each it takes many minutes on one machine.
-BACKTEST_BOOSTING = {"maxIter": 5, "maxDepth": 3}
+BACKTEST_BOOSTING = {"rounds": 5, "depth": 3}
 BACKTEST_FOREST = {"numTrees": 20, "maxDepth": 6}
 
 

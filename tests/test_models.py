@@ -234,7 +234,7 @@ def test_classifiers_beat_the_frequency_baseline(spark, learnable):
     base = B.class_frequency(train)
     floor = actual(test.withColumns({f"p_{s}": base.select(f"p_{s}").scalar() for s in B.SIDES}))
     logistic = C.fit_logistic(train, ["x", "y"], "target")
-    for scored in (C.score(logistic, test), C.fit_boosting(train, ["x", "y"], "target", rounds=40, depth=3).score(test),
+    for scored in (C.score(logistic, test), C.fit_boosting(train, ["x", "y"], "target", rounds=8, depth=3, rate=0.3).score(test),
                    C.score(C.fit_forest(train, ["x", "y"], "target", numTrees=15), test)):
         assert scored.filter(~P.is_distribution(*P.triple())).count() == 0
         assert actual(scored) < floor - 0.2

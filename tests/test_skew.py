@@ -89,3 +89,13 @@ def test_hot_key_really_is_split(spark, data):
     assert any_hot
     assert chunked.filter("k = 1").select(skew.CHUNK).distinct().count() > 5
     assert chunked.filter("k = 3").select(skew.CHUNK).distinct().count() == 1
+
+
+def test_running_top_n_of_a_large_key_needs_no_window(spark):
+    """One key over many batches: the plan has no window that holds the key's rows, and only wanted rows come back."""
+    n = 45_000
+    df = spark.range(n).select(F.lit(1).alias("k"), F.col("id").alias("t"), "id", F.when(F.col("id") % 3 > 0, F.struct((F.col("id") * 7919 % n).alias("o"), "id")).alias("x"))
+    got = skew.running_top_n(df, ["k"], ["t", "id"], "x", 3, F.col("t"), "top", wanted=F.col("id") % 1000 == 999)
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = {r["id"]: [x["o"] for x in r["top"]] for r in got.collect()}
+    assert rows == {i: sorted([j * 7919 % n for j in range(i + 1) if j % 3], reverse=True)[:3] for i in range(999, n, 1000)}

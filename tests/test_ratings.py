@@ -123,3 +123,18 @@ def test_ambiguous_order_needs_an_unknown_kickoff(spark):
     rows = [(dt.date(2024, 5, 1), t, 1, 2), (dt.date(2024, 5, 1), None, 1, 3), (dt.date(2024, 5, 2), t, 4, 5), (dt.date(2024, 5, 2), t, 4, 6)]
     bad = R.ambiguous_order(spark.createDataFrame(rows, "match_date DATE, kickoff_at TIMESTAMP, home_id INT, away_id INT"))
     assert [(r["team_id"], r["matches"], r["unknown_kickoffs"]) for r in bad.collect()] == [(1, 2, 1)]
+
+
+@pytest.mark.parametrize("block_rows", [7, 40, 1000])
+def test_replay_in_blocks_equals_loop_for_every_block_size(spark, games, block_rows):
+    """Each pool goes on from the states its last block left, in both orders and in Glicko, and nothing is iterated."""
+    two = F.when(F.col("match_id") % 3 == 0, F.lit("a"))
+    history = R.elo_history(frame(spark, games), two, pool_rows=20, block_rows=block_rows)
+    want, last = {}, {}
+    for mine in ([g for g in games if g[0] % 3 == 0], [g for g in games if g[0] % 3]):
+        changes, final = loop_elo(mine)
+        want |= changes
+        last |= {("a" if mine[0][0] % 3 == 0 else "(none)", t): r for t, r in final.items()}
+    close(elo_dict(history), want)
+    close({(r["pool"], r["team_id"]): r["rating"] for r in R.elo_final(history).collect()}, last)
+    close(glicko_dict(R.glicko_history(frame(spark, games), pool_rows=20, block_rows=block_rows)), loop_glicko(games))

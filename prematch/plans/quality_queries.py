@@ -32,11 +32,13 @@ ROUTED = RESOLVED + f""", scoped AS (SELECT *, {SCOPE_SQL} AS scope, concat_ws('
      WHEN unresolved <> '' THEN 'quarantined' WHEN NOT in_scope THEN 'excluded' ELSE 'normalized' END AS decision,
      CASE WHEN scope NOT LIKE 'include:%' THEN substr(scope, strpos(scope, ':') + 1) WHEN unresolved <> '' THEN unresolved
      WHEN NOT in_scope THEN 'competition_out_of_scope' ELSE 'canonicalized' END AS reasons FROM scoped)"""
+# A row without a date has no group and is nobody's copy.
 DEDUPED = ROUTED + """, ranked AS (SELECT *, row_number() OVER w AS rn, first_value(row_no) OVER w AS first_no FROM routed
      WINDOW w AS (PARTITION BY decision, match_date, least(home_id, away_id), greatest(home_id, away_id), competition_id ORDER BY row_no)),
    final AS (SELECT row_no, match_date, home_id, away_id, competition_id,
-     CASE WHEN decision = 'normalized' AND rn > 1 THEN 'quarantined' ELSE decision END AS decision,
-     CASE WHEN decision = 'normalized' AND rn > 1 THEN 'duplicate_or_reversed_fixture:' || first_no ELSE reasons END AS reasons FROM ranked)"""
+     CASE WHEN later THEN 'quarantined' ELSE decision END AS decision,
+     CASE WHEN later THEN 'duplicate_or_reversed_fixture:' || first_no ELSE reasons END AS reasons
+     FROM (SELECT *, decision = 'normalized' AND match_date IS NOT NULL AND rn > 1 AS later FROM ranked))"""
 
 
 def catalogs(t: Tables):
@@ -107,7 +109,8 @@ def c5(t: Tables):
 
 
 @query("c6_quality_report", DEDUPED + """ SELECT count(*) AS total, count(*) FILTER (WHERE decision = 'normalized') AS normalized,
-   count(*) FILTER (WHERE decision = 'excluded') AS excluded, count(*) FILTER (WHERE decision = 'quarantined') AS quarantined, FALSE AS valid FROM final""")
+   count(*) FILTER (WHERE decision = 'excluded') AS excluded, count(*) FILTER (WHERE decision = 'quarantined') AS quarantined,
+   count(*) > 0 AND count(*) FILTER (WHERE decision <> 'normalized') = 0 AS valid FROM final""")
 def c6(t: Tables):
     return Q.quality_report(final(t))
 

@@ -56,9 +56,12 @@ def record_id() -> Column:
 
 
 def resolve_references(refs: DataFrame, records: DataFrame, as_of) -> DataFrame:
-    """Exact revisions named by references (role, record_id, expected_kind, expected_entity), with a status."""
+    """Exact revisions named by references (role, record_id, expected_kind, expected_entity), with a status.
+
+    A record that is stored several times has one id and one content, so a reference finds it once.
+    """
     found = visible(records, as_of).select(
-        "record_id", F.col("kind").alias("found_kind"), F.col("entity_id").alias("found_entity"), "recorded_at")
+        "record_id", F.col("kind").alias("found_kind"), F.col("entity_id").alias("found_entity"), "recorded_at").dropDuplicates(["record_id"])
     joined = refs.join(found, "record_id", "left")
     status = (
         F.when(F.col("found_kind").isNull(), F.lit("unavailable"))

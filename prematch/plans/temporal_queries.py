@@ -84,9 +84,9 @@ def d7(t: Tables):
     return out.select("team_id", "source", F.col("opening.record_id").alias("opening_id"), F.col("latest.record_id").alias("latest_id"), "n")
 
 
-@query("d8_strictly_earlier_date", f"""{READERS}, best AS (SELECT r.reader_id, max(({SECONDS.format("CAST(CAST(s.available_at AS DATE) AS TIMESTAMP)")} * 1000000 + s.record_id)) AS k FROM reader r JOIN shown s
+@query("d8_strictly_earlier_date", f"""{READERS}, best AS (SELECT r.reader_id, arg_max(s.record_id, (CAST(s.available_at AS DATE), s.record_id)) AS record_id FROM reader r JOIN shown s
      ON r.team_id = s.team_id AND CAST(s.available_at AS DATE) < CAST(r.prediction_time AS DATE) GROUP BY r.reader_id)
-   SELECT r.reader_id, b.k % 1000000 AS record_id FROM reader r LEFT JOIN best b ON r.reader_id = b.reader_id""")
+   SELECT r.reader_id, b.record_id FROM reader r LEFT JOIN best b ON r.reader_id = b.reader_id""")
 def d8(t: Tables):
     left = readers(t).withColumn("day", F.to_date("prediction_time").cast("timestamp"))
     right = shown(t).withColumn("day", F.to_date("available_at").cast("timestamp"))
@@ -164,10 +164,10 @@ def addressed(t: Tables):
 
 
 # Each forecast record names the latest 'match' record of its entity; kinds are mixed up on every tenth line.
-@query("d15_lineage_resolution", CURRENT + """, refs AS (SELECT sequence AS ref_from, CASE WHEN sequence % 10 = 0 THEN 'odds' ELSE kind END AS expected_kind, CASE WHEN sequence % 7 = 0 THEN entity_id + 1 ELSE entity_id END AS expected_entity,
-     sequence FROM records WHERE kind = 'forecast')
-   SELECT ref_from, CASE WHEN v.sequence IS NULL THEN 'unavailable' WHEN v.kind <> expected_kind THEN 'kind_mismatch' WHEN v.entity_id <> expected_entity THEN 'entity_mismatch' ELSE 'resolved' END AS status
-   FROM refs r LEFT JOIN (SELECT DISTINCT sequence, kind, entity_id FROM vis WHERE kind = 'forecast') v ON v.sequence = r.sequence""")
+@query("d15_lineage_resolution", CURRENT + f""", refs AS (SELECT sequence AS ref_from, CASE WHEN sequence % 10 = 0 THEN 'odds' ELSE kind END AS expected_kind, CASE WHEN sequence % 7 = 0 THEN entity_id + 1 ELSE entity_id END AS expected_entity,
+     {RID} AS record_id FROM records WHERE kind = 'forecast')
+   SELECT ref_from, CASE WHEN v.record_id IS NULL THEN 'unavailable' WHEN v.kind <> expected_kind THEN 'kind_mismatch' WHEN v.entity_id <> expected_entity THEN 'entity_mismatch' ELSE 'resolved' END AS status
+   FROM refs r LEFT JOIN (SELECT DISTINCT {RID} AS record_id, kind, entity_id FROM vis) v ON v.record_id = r.record_id""")
 def d15(t: Tables):
     rec = addressed(t)
     refs = rec.filter("kind = 'forecast'").select(

@@ -225,10 +225,9 @@ def g8(t: Tables):
 
 def pre_match(t: Tables):
     """Training table of the fitted classifiers, written once so that every optimiser pass reads a table."""
-    from ..session import ensure_checkpoint_dir
+    from ..session import stored
 
-    ensure_checkpoint_dir(t.spark)
-    return R.pre_match_table(t.matches.filter(DONE)).checkpoint()
+    return stored(R.pre_match_table(t.matches.filter(DONE)))
 
 
 def _split(t: Tables):

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +24,10 @@ HINTS = ("passw", "secret", "token", "apikey", "api_key")  # every match of ASSI
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
 BEFORE, INSIDE, AFTER = 24, 40, 8     # characters the network sees at once
 STRIDE = 20                            # from one window on a longer candidate to the next
-LABELLED = 2000                        # candidates per label to learn from, expected
+PASSES, SHARD = 4, 20_000              # passes over all training windows, and how many of them a task has
+LEAST_STEPS = 300                      # of a task in all passes; a table with few windows is gone over more often
+BUFFER = 8192                          # windows that a task holds at once
+GRID = 2.0**24                         # averages are rounded to it, so that the order in which tasks end does not matter
 RECALL = 0.95                          # of held-out labelled secrets that the threshold must find
 MASK = "[secret]"
 
@@ -94,12 +98,31 @@ def codes(windows) -> np.ndarray:
 class CharCnn:
     """Embedding by class and zone, one convolution, maxima before and from the candidate's start, and a logistic output."""
 
+    PARTS = ("k", "b", "v", "c")
+
     def __init__(self, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.k = rng.normal(0, 0.15, (WIDTH, N_CODES, FILTERS)).astype(np.float32)
         self.b = np.zeros(FILTERS, np.float32)
         self.v = rng.normal(0, 0.15, 2 * FILTERS).astype(np.float32)
         self.c = np.zeros(1, np.float32)
+        self.m = {p: np.zeros_like(getattr(self, p)) for p in self.PARTS}  # running means of gradients and of their squares
+        self.s = {p: np.zeros_like(getattr(self, p)) for p in self.PARTS}
+        self.t = 0.0
+
+    def vector(self) -> np.ndarray:
+        """Parameters and the state of their fit."""
+        return np.concatenate([*[a[p].ravel() for a in (vars(self), self.m, self.s) for p in self.PARTS], [self.t]]).astype(float)
+
+    def load(self, vector: np.ndarray) -> CharCnn:
+        at = 0
+        for target in (vars(self), self.m, self.s):
+            for p in self.PARTS:
+                size, shape = target[p].size, target[p].shape
+                target[p] = vector[at:at + size].reshape(shape).astype(np.float32)
+                at += size
+        self.t = float(vector[at])
+        return self
 
     def forward(self, x: np.ndarray):
         # a convolution over one-hot classes is a sum of rows of the kernel, one per offset
@@ -114,13 +137,12 @@ class CharCnn:
     def logits(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([self.forward(x[i:i + 512])[2] for i in range(0, len(x), 512)]) if len(x) else np.zeros(0, np.float32)
 
-    def fit(self, x: np.ndarray, y: np.ndarray, rounds: int = 12, batch: int = 128, seed: int = 7) -> CharCnn:
+    def fit(self, x: np.ndarray, y: np.ndarray, rounds: int = 12, batch: int = 128, seed: int = 7, share: float | None = None) -> CharCnn:
+        """Steps over the given windows, from where the last ones ended. share: of secrets among all windows, if these are a part of them."""
         rng = np.random.default_rng(seed)
-        names = ("k", "b", "v", "c")
-        m = {p: np.zeros_like(getattr(self, p)) for p in names}
-        s = {p: np.zeros_like(getattr(self, p)) for p in names}
-        weight = np.where(y == 1, 0.5 / max((y == 1).mean(), 1e-9), 0.5 / max((y == 0).mean(), 1e-9)).astype(np.float32)
-        t = 0
+        share = (y == 1).mean() if share is None else share
+        weight = np.where(y == 1, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9)).astype(np.float32)
+        m, s = self.m, self.s
         for _ in range(rounds):
             order = rng.permutation(len(x))
             for i in range(0, len(x), batch):
@@ -136,11 +158,11 @@ class CharCnn:
                 for o in range(WIDTH):
                     np.add.at(gk[o], (xb[rows, at.reshape(len(pick), -1) + o], f[None, :].repeat(len(pick), 0)), dh)
                 grads = {"k": gk, "b": dh.reshape(-1, 2, FILTERS).sum((0, 1)), "v": h.T @ d + 1e-3 * self.v, "c": np.array([d.sum()])}
-                t += 1
-                for p in names:
+                self.t += 1
+                for p in self.PARTS:
                     m[p] = 0.9 * m[p] + 0.1 * grads[p]
                     s[p] = 0.999 * s[p] + 0.001 * grads[p] ** 2
-                    setattr(self, p, (getattr(self, p) - 0.01 * (m[p] / (1 - 0.9**t)) / (np.sqrt(s[p] / (1 - 0.999**t)) + 1e-8)).astype(np.float32))
+                    setattr(self, p, (getattr(self, p) - 0.01 * (m[p] / (1 - 0.9**self.t)) / (np.sqrt(s[p] / (1 - 0.999**self.t)) + 1e-8)).astype(np.float32))
         return self
 
 
@@ -166,7 +188,7 @@ def calibrate(logit: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def learn(windows, labels: np.ndarray) -> dict | None:
-    """Network, calibration, threshold and the share of unlabelled candidates it lets through; a fifth of the findings is held out for the last three.
+    """What ``fit`` does, for candidates in memory. Network, calibration, threshold and the share of unlabelled candidates it lets through; a fifth of the findings is held out for the last three.
 
     The threshold is the recall point of the held-out labelled findings. None without both labels.
     """
@@ -180,13 +202,17 @@ def learn(windows, labels: np.ndarray) -> dict | None:
     net = CharCnn().fit(codes([w for p in parts for w in p]), y[of])
     logit = best_logits(net, held)
     a, b = calibrate(logit, y[test])
-    p = 1 / (1 + np.exp(-np.clip(a * logit + b, -30, 30)))
+    p = _chance(a, b, logit)
     threshold = float(np.quantile(p[y[test] == 1], 1 - RECALL, method="lower"))
     return {"net": net, "slope": a, "offset": b, "threshold": threshold, "false_positive_rate": float((p[y[test] == 0] >= threshold).mean())}
 
 
 def probabilities(model: dict, windows) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(model["slope"] * best_logits(model["net"], windows) + model["offset"], -30, 30)))
+    return _chance(model["slope"], model["offset"], best_logits(model["net"], windows))
+
+
+def _chance(slope: float, offset: float, logit: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(slope * logit + offset, -30, 30)))
 
 
 _FOUND = "base array<struct<start:int,stop:int,kind:string>>, cand array<struct<start:int,stop:int,label:boolean,seen:string>>"
@@ -207,16 +233,98 @@ def findings(docs: DataFrame) -> DataFrame:
     return written(docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("row_key"), found("text").alias("f")).select("doc_id", "row_key", "f.*"))
 
 
-def fit(found: DataFrame, labelled: int = LABELLED) -> dict | None:
-    """Learn from about ``labelled`` candidates of each label, chosen by a hash of row and place; every other one is only scored."""
-    flat = found.select("row_key", F.explode("cand").alias("c")).select("row_key", "c.*").filter("label IS NOT NULL")
-    counts = {r["label"]: r["count"] for r in flat.groupBy("label").count().collect()}
-    if len(counts) < 2:
+def fit(found: DataFrame) -> dict | None:
+    """Learn from every labelled candidate: a fifth of them, by a hash of row and place, is held out for calibration and threshold.
+
+    In each pass every task goes over its part of the training windows, and the networks of all tasks are averaged by their windows.
+    None without both labels on both sides.
+    """
+    place = F.xxhash64("row_key", F.col("c.start"))
+    flat = found.select("row_key", F.explode("cand").alias("c")).select(place.alias("place"), (F.pmod(place, F.lit(5)) == 4).alias("held"), F.col("c.label").alias("label"), F.col("c.seen").alias("seen")).filter("label IS NOT NULL")
+    windows = (F.length("seen") / LENGTH).cast("long")
+    counts = {(r["held"], r["label"]): r["n"] for r in flat.groupBy("held", "label").agg(F.sum(windows).alias("n")).collect()}
+    if len(counts) < 4:
         return None
-    rate = F.when(F.col("label"), F.lit(labelled / counts[True])).otherwise(F.lit(labelled / counts[False]))
-    sample = flat.filter(F.pmod(F.xxhash64("row_key", "start"), F.lit(1 << 30)) < rate * (1 << 30)).select("row_key", "start", "label", "seen").distinct().toPandas()
-    sample = sample.sort_values(["row_key", "start"])
-    return learn(sample["seen"].tolist(), sample["label"].to_numpy()) if len(sample) else None
+    net = _trained(flat.filter("NOT held"), counts[False, True], counts[False, False])
+
+    def judged(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best_logits(net, batch.column(1).to_pylist()))], names=["label", "logit"])
+
+    held = written(flat.filter("held").select("label", "seen").mapInArrow(judged, "label boolean, logit float"))
+    slope, offset = _calibrated(held)
+    threshold = float(_chance(slope, offset, np.array([_lower_quantile(held.filter("label"), 1 - RECALL)], np.float32))[0])
+    passes = F.pandas_udf(lambda logit: pd.Series(_chance(slope, offset, logit.to_numpy()) >= threshold), "boolean")
+    rate = held.filter("NOT label").agg(F.avg(passes("logit").cast("int"))).first()[0]
+    return {"net": net, "slope": slope, "offset": offset, "threshold": threshold, "false_positive_rate": rate}
+
+
+def _trained(rows: DataFrame, secrets: int, others: int) -> CharCnn:
+    """A network from windows of rows (place, label, seen), of which so many are secrets and others. Rows are placed by their hash, so that reruns agree."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    total = secrets + others
+    shards = -(-total // SHARD)
+    again = max(1, -(-LEAST_STEPS // (PASSES * -(-total // (shards * 128)))))
+    parts = written(rows.select("place", "label", "seen").repartition(shards, "place").sortWithinPartitions("place", "label", "seen"))
+    net = CharCnn()
+    for number in range(PASSES):
+        start = net.vector()
+
+        def run(batches):
+            mine, x, y, n = CharCnn().load(start), [], [], 0
+
+            def step():
+                mine.fit(codes(x), np.array(y, np.float32), again, seed=1000 * number + 7, share=secrets / total)
+                x.clear(), y.clear()
+
+            for batch in batches:
+                for label, seen in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                    x += [seen[i:i + LENGTH] for i in range(0, len(seen), LENGTH)]
+                    n += len(seen) // LENGTH
+                    y += [label] * (len(x) - len(y))
+                    if len(x) >= BUFFER:
+                        step()
+            if x:
+                step()
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array([[float(n), *(mine.vector() * n)]])], names=["v"])
+
+        sums = parts.mapInArrow(run, "v array<double>").agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v")).first()["v"]
+        net.load(np.rint(np.array(sums[1:]) / sums[0] * GRID) / GRID)
+    return net
+
+
+def _calibrated(held: DataFrame) -> tuple[float, float]:
+    """``calibrate`` over a table (label, logit)."""
+    a, b, z = 1.0, 0.0, F.col("logit").cast("double")
+    for _ in range(30):
+        p = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), a * z + b))))
+        g, h = p - F.col("label").cast("double"), p * (1 - p) + 1e-4
+        gz, g1, hzz, hz, h1 = held.agg(*[F.sum(e) for e in (g * z, g, h * z * z, h * z, h)]).first()
+        step = np.linalg.solve([[hzz + 1.0, hz], [hz, h1 + 1.0]], [gz + (a - 1), g1 + b])
+        old, a, b = (a, b), float(np.clip(a - step[0], 0.05, 20)), float(np.clip(b - step[1], -20, 20))
+        if abs(a - old[0]) + abs(b - old[1]) < 1e-9:
+            break
+    return round(a, 9), round(b, 9)
+
+
+def _lower_quantile(rows: DataFrame, q: float) -> np.float32:
+    """The logit at place floor(q (n - 1)) of all in order, exactly: counted by the upper half of its bits, then by all of them."""
+    @F.pandas_udf("int")
+    def ordered(logit: pd.Series) -> pd.Series:
+        bits = logit.to_numpy(np.float32).view(np.int32)
+        return pd.Series(np.where(bits < 0, bits ^ 0x7FFFFFFF, bits))
+
+    keys, before, found = rows.select(ordered("logit").alias("key")), int(q * (rows.count() - 1)), None
+    for part in (F.shiftright("key", 16), F.col("key")):
+        bins = keys.filter(F.lit(True) if found is None else F.shiftright("key", 16) == found).groupBy(part.alias("bin")).count().collect()
+        for found, n in sorted(bins):
+            if before < n:
+                break
+            before -= n
+    return np.array([found if found >= 0 else found ^ 0x7FFFFFFF], np.int32).view(np.float32)[0]
 
 
 def scan(found: DataFrame, model: dict | None) -> DataFrame:

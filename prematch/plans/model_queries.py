@@ -225,9 +225,10 @@ def g8(t: Tables):
 
 def pre_match(t: Tables):
     """Training table of the fitted classifiers, written once so that every optimiser pass reads a table."""
-    from ..session import stored
+    from ..session import spread, stored
 
-    return stored(R.pre_match_table(t.matches.filter(DONE)))
+    done = t.matches.filter(DONE)
+    return stored(spread(R.pre_match_table(done), done.count()))
 
 
 def _split(t: Tables):
